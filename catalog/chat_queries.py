@@ -131,7 +131,8 @@ def parse_timestamp(spark, sf):
     return (
         fx.table(spark, sf, "events")
         .where(F.length(year).between(2, 4))
-        .select("event_id", ts.stamp_to_date(stamp, fx.PIVOT_YEAR).alias("date"))
+        .select("event_id", stamp.alias("stamp"))
+        .select("event_id", F.expr(ts.stamp_to_date("stamp", fx.PIVOT_YEAR)).alias("date"))
         .where(F.col("date").isNotNull())
     )
 
@@ -668,7 +669,8 @@ def clean_values(spark, sf):
     )
 
 
-_EVIDENCE_CASES = """CASE doc_id % 5 WHEN 0 THEN upper(substr(text, 11, 60))
+_EVIDENCE_CASES = """CASE doc_id % 5 WHEN 0 THEN translate(substr(text, 11, 60),
+    'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')
   WHEN 1 THEN '  ' || replace(substr(text, 1, 80), ' ', '   ')
   WHEN 2 THEN substr(text, 5, 40) || '~~' WHEN 3 THEN '  ' END"""
 

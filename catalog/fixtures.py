@@ -51,6 +51,7 @@ PIVOT_YEAR = 2026
 # ----------------------------------------------------------------------------------------------
 
 N = len(PHRASES)
+SPARK_PHRASES = ", ".join("'" + p.replace("'", "\\'") + "'" for p in PHRASES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,21 +75,15 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(phrase == NOTIFICATION_PHRASE, GROUP_NOTIFICATION)
         .otherwise(F.concat(F.lit("user_"), F.col("user_id")))
         .alias("user"),
-        F.get(F.array(*[F.lit(p) for p in PHRASES]), phrase.cast("int")).alias("message"),
+        F.expr(f"get(array({SPARK_PHRASES}), int(event_id % {N}))").alias("message"),
     )
     return add_calendar(rows)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with dense ids per chat in time order."""
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     return number_rows(
-        event_messages(spark, sf_dir),
-        "chat_id",
-        ["ts", "event_id"],
-        fine=F.floor(seconds / F.lit(60)),
-        coarse=F.floor(seconds / F.lit(86_400)),
-        out="message_id",
+        event_messages(spark, sf_dir), "chat_id", ["ts", "event_id"], F.col("date"), "message_id"
     )
 
 

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from . import text as tx
 
 # --- fixed values: header grammar -----------------------------------------------------------
@@ -21,39 +18,27 @@ FIRST_YEAR, LAST_YEAR = 1678, 2261
 # --------------------------------------------------------------------------------------------
 
 
-def stamp_parts(stamp: Column) -> Column:
-    """[day, month, year, hour, minute, am|pm] as text."""
-    return F.regexp_extract_all(F.lower(stamp), F.lit(r"\p{Nd}+|[ap]m"), F.lit(0))
-
+def stamp_to_date(stamp: str, pivot_year: int | None = None) -> str:
+    """SQL for the timestamp of a header, null when it names no valid date.
 
-def parts_to_date(parts: Column, pivot_year: int | None = None) -> Column:
-    """Timestamp of the parts, null when they make no valid date.
+    ``stamp`` is SQL text too, so that lambdas can use it.
 
     Day first; a month above 12 with a possible month in the day's place swaps the two.
     Two-digit years fall within fifty years of ``pivot_year`` (default: this year).
     """
-    pivot = pivot_year if pivot_year is not None else datetime.date.today().year
-    number = lambda i: F.get(parts, F.lit(i)).try_cast("int")
-    first, second, hour, minute = number(0), number(1), number(3), number(4)
-    digits = F.length(F.get(parts, F.lit(2)))
-
-    swap = (second > 12) & (first <= 12)
-    day = F.when(swap, second).otherwise(first)
-    month = F.when(swap, first).otherwise(second)
-
-    century = pivot // 100 * 100
-    short = number(2) + century
-    year = F.when(
-        digits == 2,
-        F.when(short >= pivot + 50, short - 100)
-        .when(short < pivot - 50, short + 100)
-        .otherwise(short),
-    ).when((digits == 4) & number(2).between(FIRST_YEAR, LAST_YEAR), number(2))
-
-    pm = F.when(F.get(parts, F.lit(5)) == "pm", 12).otherwise(0)
-    hour24 = F.when(hour <= 12, hour % 12 + pm)
-    return F.try_make_timestamp_ntz(year, month, day, hour24, minute, F.lit(0))
-
-
-def stamp_to_date(stamp: Column, pivot_year: int | None = None) -> Column:
-    return parts_to_date(stamp_parts(stamp), pivot_year)
+    now = pivot_year if pivot_year is not None else datetime.date.today().year
+    century = now // 100 * 100
+    # p = [day, month, year, hour, minute, am|pm]; the lambda takes the stamp apart only once
+    parts = f"regexp_extract_all(lower({stamp}), r'\\p{{Nd}}+|[ap]m', 0)"
+    first, second, year, hour, minute = (f"try_cast(p[{i}] AS INT)" for i in range(5))
+    swapped = f"{second} > 12 AND {first} <= 12"
+    return f"""get(transform(array({parts}), p -> CASE WHEN size(p) = 6 THEN try_make_timestamp_ntz(
+        CASE WHEN length(p[2]) = 2 THEN
+               CASE WHEN {century} + {year} >= {now + 50} THEN {century - 100} + {year}
+                    WHEN {century} + {year} < {now - 50} THEN {century + 100} + {year}
+                    ELSE {century} + {year} END
+             WHEN length(p[2]) = 4 AND {year} BETWEEN {FIRST_YEAR} AND {LAST_YEAR} THEN {year} END,
+        CASE WHEN {swapped} THEN {first} ELSE {second} END,
+        CASE WHEN {swapped} THEN {second} ELSE {first} END,
+        CASE WHEN {hour} <= 12 THEN {hour} % 12 + CASE WHEN p[5] = 'pm' THEN 12 ELSE 0 END END,
+        {minute}, 0) END), 0)"""

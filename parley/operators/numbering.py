@@ -1,9 +1,9 @@
 """Dense row numbers inside a key that may hold most of the table.
 
-``row_number()`` over a chat would sort the whole chat in one task. Here every chat is cut
-into small ordered slices; rows are numbered inside a slice, and the start of each slice comes
-from running sums over slice counts, first inside a coarse slice, then over coarse slices.
-Each task sees one slice, or counts only, however large the chat is.
+``row_number()`` over a chat would sort the whole chat in one task. Here every chat is cut into
+ordered slices of bounded size: rows are numbered inside their slice, and the number a slice
+starts with is a running sum of slice counts. One task sees one slice of rows, or one count per
+slice, however large the chat is.
 """
 
 from __future__ import annotations
@@ -12,84 +12,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Message ids per slice; ids are dense, so this bounds the rows of a slice.
+SLICE_IDS = 500_000
 
-def slice_starts(counts: DataFrame, key: str, coarse: str, fine: str, size: str) -> DataFrame:
-    """Rows before each slice: (key, fine, start) from one row per (key, coarse, fine)."""
-    in_coarse = Window.partitionBy(key, coarse).orderBy(fine)
-    over_coarse = Window.partitionBy(key).orderBy(coarse)
-    coarse_starts = (
-        counts.groupBy(key, coarse)
-        .agg(F.sum(size).alias("_total"))
-        .select(
-            key,
-            coarse,
-            F.coalesce(
-                F.sum("_total").over(over_coarse.rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ).alias("_coarse_start"),
-        )
-    )
-    fine_starts = counts.select(
-        key,
-        coarse,
-        fine,
-        F.coalesce(
-            F.sum(size).over(in_coarse.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_fine_start"),
-    )
-    return fine_starts.join(coarse_starts, [key, coarse]).select(
-        key, fine, (F.col("_coarse_start") + F.col("_fine_start")).alias("_start")
+
+def slice_starts(counts: DataFrame, key: str, slice_col: str, *sizes: str) -> DataFrame:
+    """(key, slice, <size>_start ...): what lies before each slice of a key, per size column."""
+    ahead = (
+        Window.partitionBy(key)
+        .orderBy(slice_col)
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
+    starts = [F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"{n}_start") for n in sizes]
+    return counts.select(key, slice_col, *starts)
 
 
 def number_rows(
-    rows: DataFrame,
-    key: str,
-    order: list[str],
-    fine: Column,
-    coarse: Column,
-    out: str,
-    first: int = 1,
+    rows: DataFrame, key: str, order: list[str], slice_of: Column, out: str, first: int = 1
 ) -> DataFrame:
     """Add a dense number ``first, first + 1, ...`` per key in the given order.
 
-    ``fine`` and ``coarse`` must never decrease along ``order``, and every fine slice lies in
-    one coarse slice.
+    ``slice_of`` must never decrease along ``order``.
     """
-    cut = rows.withColumn("_fine", fine)
     counts = (
-        rows.select(key, coarse.alias("_coarse"), fine.alias("_fine"))
-        .groupBy(key, "_coarse", "_fine")
+        rows.select(key, slice_of.alias("_slice"))
+        .groupBy(key, "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    starts = slice_starts(counts, key, "_coarse", "_fine", "_n")
-    in_slice = Window.partitionBy(key, "_fine").orderBy(*order)
+    starts = slice_starts(counts, key, "_slice", "_n")
+    in_slice = Window.partitionBy(key, "_slice").orderBy(*order)
+    number = F.col("_n_start") + F.col("_rn") + F.lit(first - 1)
     return (
-        cut.withColumn("_rn", F.row_number().over(in_slice))
-        .join(starts, [key, "_fine"])
-        .withColumn(out, (F.col("_start") + F.col("_rn") + F.lit(first - 1)).cast("bigint"))
-        .drop("_fine", "_rn", "_start")
-    )
-
-
-def number_by_id(
-    rows: DataFrame, out: str, first: int = 1, key: str = "chat_id", id_col: str = "message_id"
-) -> DataFrame:
-    """Dense numbers for a subset of messages, in order of the message id.
-
-    Ids are dense per chat, so slices of the id range are bounded in size by construction.
-    """
-    at = F.col(id_col)
-    return number_rows(
-        rows,
-        key,
-        [id_col],
-        fine=F.floor(at / F.lit(FINE_IDS)),
-        coarse=F.floor(at / F.lit(FINE_IDS * COARSE_SLICES)),
-        out=out,
-        first=first,
+        rows.withColumn("_slice", slice_of)
+        .withColumn("_rn", F.row_number().over(in_slice))
+        .join(starts, [key, "_slice"])
+        .withColumn(out, number.cast("bigint"))
+        .drop("_slice", "_rn", "_n_start")
     )
 
 
-FINE_IDS = 50_000
-COARSE_SLICES = 10_000
+def number_by_id(rows: DataFrame, out: str, first: int = 1) -> DataFrame:
+    """Dense numbers per chat for a subset of its messages, in order of the message id."""
+    slices = F.floor(F.col("message_id") / F.lit(SLICE_IDS))
+    return number_rows(rows, "chat_id", ["message_id"], slices, out, first)

@@ -26,8 +26,6 @@ from ..operators.numbering import slice_starts
 from ..schema import GROUP_NOTIFICATION, MESSAGES
 
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
-# Splits are numbered by byte offset; starts are summed up per run of this many bytes first.
-SLICE_BYTES = 1 << 40
 
 
 def _first_match(pattern: str, col: Column) -> Column:
@@ -72,29 +70,20 @@ def _to_messages(rows: DataFrame) -> DataFrame:
     return add_calendar(shaped).select(*MESSAGES.fieldNames())
 
 
-def _split_starts(counts: DataFrame, size: str) -> DataFrame:
-    sliced = counts.withColumn("_coarse", F.floor(F.col("split") / F.lit(SLICE_BYTES)))
-    return slice_starts(sliced, "chat_id", "_coarse", "split", size).withColumnRenamed(
-        "_start", f"{size}_start"
-    )
-
-
 def parse_texts(texts: DataFrame, pivot_year: int | None = None) -> DataFrame:
     """Messages of (chat_id, text), one row per chat, without a shuffle."""
-    segments = F.regexp_extract_all(
-        F.col("text"), F.lit(rf"(?s){ts.HEADER}.*?(?={ts.HEADER}|\z)"), F.lit(0)
-    )
-    parsed = F.transform(
-        segments,
-        lambda s: F.struct(
-            s.alias("segment"), ts.stamp_parts(_first_match(f"^{ts.STAMP}", s)).alias("parts")
-        ),
+    date = ts.stamp_to_date(f"regexp_extract(s, r'^{ts.STAMP}', 0)", pivot_year)
+    dated = F.expr(
+        f"""filter(
+          transform(
+            regexp_extract_all(text, r'(?s){ts.HEADER}.*?(?={ts.HEADER}|\z)', 0),
+            s -> struct(s AS segment, {date} AS date)),
+          m -> m.date IS NOT NULL)"""
     )
-    dated = F.filter(parsed, lambda m: ts.parts_to_date(m.parts, pivot_year).isNotNull())
     rows = texts.select("chat_id", F.posexplode(dated).alias("pos", "m")).select(
         "chat_id",
         (F.col("pos") + 1).cast("bigint").alias("message_id"),
-        ts.parts_to_date(F.col("m.parts"), pivot_year).alias("date"),
+        "m.date",
         F.regexp_replace("m.segment", f"^{ts.HEADER}", "").alias("raw"),
     )
     return _to_messages(rows)
@@ -120,7 +109,7 @@ def parse_pieces(pieces: DataFrame, pivot_year: int | None = None) -> DataFrame:
             "split",
             "pos",
             F.expr("left(piece, length(piece) - length(tail))").alias("body"),
-            F.when(F.col("tail") != "", ts.stamp_to_date(F.col("tail"), pivot_year)).alias("date"),
+            F.expr(ts.stamp_to_date("tail", pivot_year)).alias("date"),
             (F.col("tail") != "").alias("is_header"),
         )
     )
@@ -166,7 +155,7 @@ def parse_pieces(pieces: DataFrame, pivot_year: int | None = None) -> DataFrame:
 
     # Running totals over splits: counts only.
     counts = cut.groupBy("chat_id", "split").agg(F.sum(headers).alias("g"), F.sum(dated).alias("v"))
-    starts = _split_starts(counts, "g").join(_split_starts(counts, "v"), ["chat_id", "split"])
+    starts = slice_starts(counts, "chat_id", "split", "g", "v")
 
     placed = local.join(starts, ["chat_id", "split"]).select(
         "chat_id",
