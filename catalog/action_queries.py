@@ -389,7 +389,7 @@ _QUERY_VECTOR = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 def query_vector(spark, sf):
     """The embedding with id 0 as a scalar subquery: one row, read inside the job."""
     rows = fx.table(spark, sf, "embeddings")
-    return rows.where("vec_id = 0").select(vec.unit(F.col("embedding"))).scalar()
+    return rows.where("vec_id = 0").select(vec.unit(F.col("embedding")).alias("v")).scalar()
 
 
 @register(

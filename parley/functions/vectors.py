@@ -16,12 +16,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
 
 
+def _bound(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, as the variable of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unit(vector: Column) -> Column:
     """The vector scaled to length one, as floats; the zero vector stays as it is."""
-    squares = F.aggregate(_double(vector), F.lit(0.0), lambda total, x: total + x * x)
-    length = F.sqrt(squares)
-    scaled = F.transform(_double(vector), lambda x: x / length)
-    return F.when(squares > 0, scaled).otherwise(_double(vector)).cast("array<float>")
+
+    def scaled(v: Column) -> Column:
+        squares = F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x)
+        length = F.when(squares > 0, F.sqrt(squares)).otherwise(1.0)
+        return _bound(length, lambda n: F.transform(v, lambda x: x / n))
+
+    return _bound(_double(vector), scaled).cast("array<float>")
 
 
 def literal(values) -> Column:

@@ -33,6 +33,15 @@ def build_index(messages: DataFrame, encoder, strict: bool = False) -> DataFrame
     return encoded.withColumn("vector", vec.unit(F.col("vector"))).drop("_text")
 
 
+def _scored(rows: DataFrame, query_vector: Column, vector: str) -> DataFrame:
+    # the query is a column of its own first: a subquery may not stand inside a lambda
+    return (
+        rows.withColumn("_query", query_vector)
+        .withColumn("semantic_score", vec.dot(F.col(vector), F.col("_query")))
+        .drop("_query")
+    )
+
+
 def nearest(
     rows: DataFrame, query_vector: Column, k: int, by: list[str], tie: str, vector: str = "vector"
 ) -> DataFrame:
@@ -43,7 +52,7 @@ def nearest(
     """
     best = Window.partitionBy(*by).orderBy(F.desc("semantic_score"), tie)
     return (
-        rows.withColumn("semantic_score", vec.dot(F.col(vector), query_vector))
+        _scored(rows, query_vector, vector)
         .withColumn("semantic_rank", F.row_number().over(best))
         .where(F.col("semantic_rank") <= k)
     )
@@ -51,11 +60,7 @@ def nearest(
 
 def top_k(rows: DataFrame, query_vector: Column, k: int, tie: str, vector: str = "vector") -> DataFrame:
     """The k rows nearest to the query vector in the whole table, exact."""
-    return (
-        rows.withColumn("semantic_score", vec.dot(F.col(vector), query_vector))
-        .orderBy(F.desc("semantic_score"), tie)
-        .limit(k)
-    )
+    return _scored(rows, query_vector, vector).orderBy(F.desc("semantic_score"), tie).limit(k)
 
 
 def with_results(hits: DataFrame, results: DataFrame | None) -> DataFrame:
