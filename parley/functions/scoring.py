@@ -45,8 +45,10 @@ QUESTION_WEIGHT = 1
 CANDIDATE_THRESHOLD = 3
 # ------------------------------------------------------------------------------------------
 
-# Unicode word boundaries and digits, case folding, and '.' that stops at '\n' only.
-_FLAGS = "(?iuUd)"
+# Unicode word boundaries and digits; '.' stops at '\n' only.
+_FLAGS = "(?Ud)"
+# Letters that equal an ASCII one when case is ignored although lower() keeps them.
+_FOLD_FROM, _FOLD_TO = "\u0131\u017f", "is"
 
 
 def any_of(patterns: list[str]) -> str:
@@ -54,25 +56,29 @@ def any_of(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def matches(text: Column, patterns: list[str]) -> Column:
-    return text.rlike(_FLAGS + any_of(patterns))
+def scoring_text(message: Column) -> Column:
+    """What patterns are matched against: stripped, lower-cased, case-folded."""
+    return F.translate(F.lower(tx.strip(message)), _FOLD_FROM, _FOLD_TO)
 
 
 def is_small_talk(text: Column) -> Column:
-    """`text` is stripped and lower-cased: nothing in it worth scoring."""
+    """Nothing in a scoring text worth a closer look: one word, a greeting or links only."""
+    links_only = text.contains("http") | text.contains("www.")
     return (
         (tx.word_count(text) <= 1)
         | text.isin(SMALL_TALK)
-        | tx.is_blank(F.regexp_replace(text, tx.FULL_URL, ""))
+        | (links_only & tx.is_blank(F.regexp_replace(text, tx.FULL_URL, "")))
     )
 
 
-def signals(message: Column) -> Column:
-    """Struct of the five flags; all false for null, blank and small-talk messages."""
-    text = F.lower(tx.strip(message))
-    worth = message.isNotNull() & ~is_small_talk(text)
-    flags = [(worth & matches(text, pats)).alias(name) for name, _, pats in SIGNALS]
-    return F.struct(*flags, (worth & text.contains("?")).alias("question"))
+def signals(text: Column) -> list[Column]:
+    """Boolean columns `worth` and one per signal, of a scoring text."""
+    flags = [text.rlike(_FLAGS + any_of(pats)).alias(name) for name, _, pats in SIGNALS]
+    worth = F.coalesce(~is_small_talk(text), F.lit(False))
+    return [worth.alias("worth"), *flags, text.contains("?").alias("question")]
+
+
+FLAGS = ["worth", *[name for name, _, _ in SIGNALS], "question"]
 
 
 def _weights() -> list[tuple[str, int]]:
@@ -80,13 +86,14 @@ def _weights() -> list[tuple[str, int]]:
 
 
 def score_of(flags: str) -> Column:
+    """Sum of the weights of the signals under a prefix; 0 for small talk."""
     total = F.lit(0)
     for name, weight in _weights():
-        total = total + F.when(F.col(f"{flags}.{name}"), weight).otherwise(0)
-    return total.cast("int")
+        total = total + F.when(F.col(flags + name), weight).otherwise(0)
+    return F.when(F.col(flags + "worth"), total).otherwise(0).cast("int")
 
 
 def reason_of(flags: str) -> Column:
-    return F.concat_ws(
-        ", ", *[F.when(F.col(f"{flags}.{name}"), name) for name, _ in _weights()]
-    )
+    """Names of the signals under a prefix, comma-separated."""
+    names = [F.when(F.col(flags + name), name) for name, _ in _weights()]
+    return F.when(F.col(flags + "worth"), F.concat_ws(", ", *names)).otherwise("")

@@ -17,10 +17,7 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 # The same set as the inside of a regex class; valid in Java and RE2.
-WS = (
-    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+WS = r"\x09-\x0d\x1c-\x1f\x{85}\p{Z}"
 # Punctuation stripped from both ends of a word.
 WORD_EDGE = ".,!?;:\"'()[]{}"
 # Full URLs, as removed before keyword matching.
@@ -80,17 +77,21 @@ def split_words(col: Column) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    stripped = strip(col)
-    return F.when(stripped == "", 0).otherwise(F.size(F.split(stripped, f"[{WS}]+")))
+    return F.size(split_words(col))
 
 
 def collapse_spaces(col: Column) -> Column:
     return F.regexp_replace(col, f"[{WS}]+", " ")
 
 
+def strip_edges(word: Column) -> Column:
+    """Remove punctuation from both ends of a word."""
+    return F.btrim(word, F.lit(WORD_EDGE))
+
+
 def clean_words(col: Column) -> Column:
     """Lower-cased tokens without punctuation at the ends; empties dropped."""
-    bare = F.transform(split_words(F.lower(col)), lambda w: F.btrim(w, F.lit(WORD_EDGE)))
+    bare = F.transform(split_words(F.lower(col)), strip_edges)
     return F.filter(bare, lambda w: w != "")
 
 

@@ -16,13 +16,17 @@ WINDOW = 2
 
 def score_messages(messages: DataFrame) -> DataFrame:
     """Add `candidate_score`, `candidate_reason` and `is_candidate`."""
-    return (
-        messages.withColumn("_signals", scoring.signals(F.col("message")))
-        .withColumn("candidate_score", scoring.score_of("_signals"))
-        .withColumn("candidate_reason", scoring.reason_of("_signals"))
-        .withColumn("is_candidate", F.col("candidate_score") >= scoring.CANDIDATE_THRESHOLD)
-        .drop("_signals")
+    text = scoring.scoring_text(F.col("message"))
+    flags = F.struct(*[c for c in scoring.signals(F.col("_text"))])
+    # inline() keeps the optimizer from copying the regex matches into every use of a flag
+    flagged = messages.withColumn("_text", text).select(
+        *messages.columns, F.inline(F.array(flags)).alias(*[f"_{n}" for n in scoring.FLAGS])
     )
+    return flagged.select(
+        *messages.columns,
+        scoring.score_of("_").alias("candidate_score"),
+        scoring.reason_of("_").alias("candidate_reason"),
+    ).withColumn("is_candidate", F.col("candidate_score") >= scoring.CANDIDATE_THRESHOLD)
 
 
 def filter_candidates(messages: DataFrame) -> DataFrame:

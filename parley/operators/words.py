@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,15 +26,34 @@ def without_stop_words(words: DataFrame, stop_words: DataFrame | None) -> DataFr
     return words if stop_words is None else words.join(stop_words, "word", "left_anti")
 
 
+def _tokens(messages: DataFrame, user: str | None, *columns: str) -> DataFrame:
+    """(columns, pos, word), one row per clean word of the typed messages."""
+    # Lower-cased word by word: lower() has a fast way for ASCII that a single accent in a long
+    # text would rule out. Cleaned inside the generator, so that the filter on the word is not
+    # pushed below it, where it would clean every word a second time.
+    words = F.transform(
+        tx.split_words(F.col("message")), lambda w: tx.strip_edges(F.lower(w))
+    )
+    tokens = spoken(filter_user(messages, user)).select(
+        *columns, F.posexplode(words).alias("pos", "word")
+    )
+    return tokens.where("word != ''")
+
+
+def _first_use() -> Column:
+    """Place of the first use: by message, then by position in it.
+
+    One decimal instead of a struct, because hash aggregation needs fixed-width buffers.
+    """
+    return F.min(F.expr("decimal(message_id) * 4294967296BD + pos").cast("decimal(38,0)"))
+
+
 def word_counts(
     messages: DataFrame, user: str | None = None, stop_words: DataFrame | None = None
 ) -> DataFrame:
     """(chat_id, word, n): counted first, so the anti-join sees distinct words only."""
     counted = (
-        spoken(filter_user(messages, user))
-        .select("chat_id", F.explode(tx.clean_words(F.col("message"))).alias("word"))
-        .groupBy("chat_id", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
+        _tokens(messages, user, "chat_id").groupBy("chat_id", "word").agg(F.count(F.lit(1)).alias("n"))
     )
     return without_stop_words(counted, stop_words)
 
@@ -47,13 +66,9 @@ def top_words(
 ) -> DataFrame:
     """The most frequent words of each chat; equal counts in order of first use."""
     counted = (
-        spoken(filter_user(messages, user))
-        .select("chat_id", "message_id", F.posexplode(tx.clean_words(F.col("message"))))
-        .groupBy("chat_id", F.col("col").alias("word"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.struct("message_id", "pos")).alias("first_use"),
-        )
+        _tokens(messages, user, "chat_id", "message_id")
+        .groupBy("chat_id", "word")
+        .agg(F.count(F.lit(1)).alias("n"), _first_use().alias("first_use"))
     )
     best = Window.partitionBy("chat_id").orderBy(F.desc("n"), "first_use")
     return (
@@ -93,12 +108,11 @@ def emoji_counts(messages: DataFrame, user: str | None = None) -> DataFrame:
     """Emoji of each chat by frequency; equal counts in order of first use."""
     counted = (
         filter_user(messages, user)
-        .select("chat_id", "message_id", F.posexplode(tx.emojis(F.col("message"))))
-        .groupBy("chat_id", F.col("col").alias("emoji"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.struct("message_id", "pos")).alias("first_use"),
+        .select(
+            "chat_id", "message_id", F.posexplode(tx.emojis(F.col("message"))).alias("pos", "emoji")
         )
+        .groupBy("chat_id", "emoji")
+        .agg(F.count(F.lit(1)).alias("n"), _first_use().alias("first_use"))
     )
     best = Window.partitionBy("chat_id").orderBy(F.desc("n"), "first_use")
     return counted.withColumn("rank", F.row_number().over(best)).drop("first_use")

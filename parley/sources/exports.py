@@ -76,7 +76,7 @@ def parse_texts(texts: DataFrame, pivot_year: int | None = None) -> DataFrame:
     dated = F.expr(
         f"""filter(
           transform(
-            regexp_extract_all(text, r'(?s){ts.HEADER}.*?(?={ts.HEADER}|\z)', 0),
+            regexp_extract_all(text, r'(?s){ts.HEADER}.*?(?={ts.HEADER}|\\z)', 0),
             s -> struct(s AS segment, {date} AS date)),
           m -> m.date IS NOT NULL)"""
     )
