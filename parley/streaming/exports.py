@@ -17,7 +17,8 @@ def stream_exports(
     spark: SparkSession, path: str, pivot_year: int | None = None, files_per_batch: int = 1000
 ) -> DataFrame:
     """Messages of every export file that appears under a directory."""
-    files = spark.readStream.options(wholetext=True, maxFilesPerTrigger=files_per_batch).text(path)
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    files = reader.text(path, wholetext=True)
     texts = files.select(
         F.col("_metadata.file_path").alias("chat_id"), F.col("value").alias("text")
     )
