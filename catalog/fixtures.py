@@ -7,7 +7,6 @@ that every pattern occurs. Both forms are written from the same list.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from parley.functions import text as tx
 from parley.operators.numbering import number_rows
 from parley.schema import GROUP_NOTIFICATION
 from parley.sources.exports import add_calendar
+from parley.storage import shared_dir
 
 # --- fixed values: message = PHRASES[event_id % 24] -----------------------------------------
 PHRASES = [
@@ -59,9 +59,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-    return os.path.join(base, f"results-{uuid.uuid4().hex}")
+    """A new folder in the shared checkpoint folder."""
+    return os.path.join(shared_dir(spark), f"results-{uuid.uuid4().hex}")
 
 
 def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

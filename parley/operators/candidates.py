@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..schema import GROUP_NOTIFICATION
-from .context import context_for
+from .context import carry_context
 from .numbering import number_by_id
 
 BATCH_SIZE = 5
@@ -57,14 +57,17 @@ def create_batches(
     window: int = WINDOW,
     max_batches: int | None = None,
 ) -> DataFrame:
-    """(chat_id, batch_no, items): candidates with their context, `batch_size` per row."""
+    """(chat_id, batch_no, items): candidates with their context, `batch_size` per row.
+
+    Numbering reads the candidates twice, so pass a stored or checkpointed table when scoring
+    them again is dear.
+    """
     numbered = add_batch_numbers(
         candidates.select("chat_id", "message_id"), batch_size, max_batches
     )
-    contexts = context_for(numbered, messages, window)
     in_place = F.array_sort(F.collect_list(F.struct("place", "message_id", "context")))
     return (
-        numbered.join(contexts, ["chat_id", "message_id"])
+        carry_context(numbered, messages, window)
         .groupBy("chat_id", "batch_no")
         .agg(in_place.alias("items"))
         .withColumn(

@@ -3,8 +3,9 @@
 Two plans with the same result. ``attach_context`` serves all messages of a table: each chat is
 cut into blocks of ids, rows near a block edge are copied into the next block, and a window runs
 per block, so one shuffle moves each row about once and no task holds a whole chat.
-``context_for`` serves few target messages: each target asks for its neighbours by id through an
-equi-join. Ids are dense per chat, so a place in the chat is an id.
+``carry_neighbours`` serves few target messages: each target asks for its neighbours by id through
+an equi-join, spread over tasks however large the chat, and takes its own columns along. Ids are
+dense per chat, so a place in the chat is an id.
 """
 
 from __future__ import annotations
@@ -95,41 +96,74 @@ def neighbours_of(targets: DataFrame, messages: DataFrame, window: int = 2) -> D
     return asked.join(messages, ["chat_id", "message_id"])
 
 
-def context_for(targets: DataFrame, messages: DataFrame, window: int = 2) -> DataFrame:
-    """(chat_id, message_id, context) with context = struct(previous, current, next)."""
-    found = neighbours_of(
-        targets, messages.select("chat_id", "message_id", "date", "user", "message"), window
+def carry_neighbours(
+    targets: DataFrame, messages: DataFrame, window: int, neighbour: Column, out: str
+) -> DataFrame:
+    """Add `out`, the `neighbour` structs around each target in id order, to the targets.
+
+    Targets must be unique per message; those whose id is no message of the chat drop out. The
+    targets are computed once: their columns travel with the request for the own message, the
+    other requests carry keys only.
+    """
+    own = F.struct(*targets.columns)
+    target_id = F.col("message_id")
+    offsets = F.sequence(F.lit(-window), F.lit(window))
+    requests = targets.select(
+        "chat_id",
+        target_id.alias("_target"),
+        F.inline(
+            F.transform(
+                offsets,
+                lambda o: F.struct(
+                    (target_id + o).alias("message_id"), F.when(o == 0, own).alias("_own")
+                ),
+            )
+        ),
     )
-    around = found.groupBy("chat_id", "target_id").agg(
-        F.array_sort(F.collect_list(message_struct())).alias("around")
+    found = requests.join(
+        messages.select("chat_id", "message_id", neighbour.alias("_neighbour")),
+        ["chat_id", "message_id"],
+    )
+    return (
+        found.groupBy("chat_id", "_target")
+        .agg(
+            F.first("_own", ignorenulls=True).alias("_own"),
+            F.array_sort(F.collect_list("_neighbour")).alias(out),
+        )
+        .where(F.col("_own").isNotNull())
+        .select("_own.*", out)
     )
-    target = F.col("target_id")
-    return around.select(
-        "chat_id",
-        target.alias("message_id"),
-        F.struct(
-            F.filter("around", lambda m: m.message_id < target).alias("previous"),
-            F.get(F.filter("around", lambda m: m.message_id == target), F.lit(0)).alias("current"),
-            F.filter("around", lambda m: m.message_id > target).alias("next"),
-        ).alias("context"),
-    ).where(F.col("context.current").isNotNull())
 
 
-def context_text_for(targets: DataFrame, messages: DataFrame, window: int = 2) -> DataFrame:
-    """(chat_id, message_id, context_text) for target ids that are messages of their chat."""
-    found = neighbours_of(
-        targets, messages.select("chat_id", "message_id", "user", "message"), window
+def carry_context(targets: DataFrame, messages: DataFrame, window: int = 2) -> DataFrame:
+    """Add `context` = struct(previous, current, next) to unique targets."""
+    around = carry_neighbours(targets, messages, window, message_struct(), "_around")
+    own = F.col("message_id")
+    context = F.struct(
+        F.filter("_around", lambda m: m.message_id < own).alias("previous"),
+        F.get(F.filter("_around", lambda m: m.message_id == own), F.lit(0)).alias("current"),
+        F.filter("_around", lambda m: m.message_id > own).alias("next"),
     )
-    around = found.groupBy("chat_id", "target_id").agg(
-        F.array_sort(F.collect_list(F.struct("message_id", line().alias("line")))).alias("around")
-    )
-    return around.where(
-        F.exists("around", lambda m: m.message_id == F.col("target_id"))
-    ).select(
-        "chat_id",
-        F.col("target_id").alias("message_id"),
-        F.array_join(F.transform("around", lambda m: m.line), "\n").alias("context_text"),
+    return around.withColumn("context", context).drop("_around")
+
+
+def carry_context_text(targets: DataFrame, messages: DataFrame, window: int = 2) -> DataFrame:
+    """Add `context_text`, the lines around each, to unique targets."""
+    around = carry_neighbours(
+        targets, messages, window, F.struct("message_id", line().alias("line")), "_around"
     )
+    text = F.array_join(F.transform("_around", lambda m: m.line), "\n")
+    return around.withColumn("context_text", text).drop("_around")
+
+
+def context_for(targets: DataFrame, messages: DataFrame, window: int = 2) -> DataFrame:
+    """(chat_id, message_id, context) of the messages that any targets name."""
+    return carry_context(targets.select("chat_id", "message_id").distinct(), messages, window)
+
+
+def context_text_for(targets: DataFrame, messages: DataFrame, window: int = 2) -> DataFrame:
+    """(chat_id, message_id, context_text) of the messages that any targets name."""
+    return carry_context_text(targets.select("chat_id", "message_id").distinct(), messages, window)
 
 
 def action_source(actions: DataFrame, messages: DataFrame, window: int = 2) -> DataFrame:

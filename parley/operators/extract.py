@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..schema import EXTRACTION, EXTRACTION_FIELDS, EXTRACTION_REQUIRED
+from ..storage import materialize
 from .candidates import BATCH_SIZE, WINDOW, add_batch_numbers, create_batches
 
 Extractor = Callable[[list[dict]], Iterable[dict]]
@@ -142,6 +143,9 @@ def analyze_candidates(
         if max_batches is not None:
             candidates = add_batch_numbers(candidates, batch_size, max_batches)
         return extract_rules(candidates)
-    numbered = add_batch_numbers(candidates, batch_size, max_batches)
-    batches = create_batches(messages, candidates, batch_size, window, max_batches)
-    return join_extractions(numbered, extract_with(batches, extractor))
+    # Model calls are dear and may answer differently next time: candidates and answers are
+    # stored before anything reads them twice, so a lost executor repeats no call that is done.
+    stored = materialize(candidates)
+    numbered = add_batch_numbers(stored, batch_size, max_batches)
+    batches = create_batches(messages, stored, batch_size, window, max_batches)
+    return join_extractions(numbered, materialize(extract_with(batches, extractor)))

@@ -14,7 +14,7 @@ from ..functions import cleaning as cl
 from ..functions import keywords as kw
 from ..functions import text as tx
 from ..functions import vectors as vec
-from .context import message_struct, neighbours_of
+from .context import carry_neighbours, message_struct
 
 AI_FIELDS = ["type", "task", "deadline", "priority", "confidence", "evidence", "is_important"]
 
@@ -114,14 +114,7 @@ def rank_hits(
 
 def attach_hit_context(hits: DataFrame, messages: DataFrame, window: int = 2) -> DataFrame:
     """Add `context`, the messages around each hit including itself."""
-    around = (
-        neighbours_of(
-            hits, messages.select("chat_id", "message_id", "date", "user", "message"), window
-        )
-        .groupBy("chat_id", F.col("target_id").alias("message_id"))
-        .agg(F.array_sort(F.collect_list(message_struct())).alias("context"))
-    )
-    return hits.join(around, ["chat_id", "message_id"])
+    return carry_neighbours(hits, messages, window, message_struct(), "context")
 
 
 def search(

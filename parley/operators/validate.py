@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import cleaning as cl
-from .context import context_text_for
+from .context import carry_context_text
 
 TEXT_FIELDS = ["task", "deadline", "evidence"]
 GROUNDING_WINDOW = 2
@@ -79,9 +79,8 @@ def validate_results(
     cleaned = clean_fields(results)
     # Whether a row is grounded does not depend on other rows, so duplicates may go first.
     single = keep_first(cleaned, seq).drop(seq) if seq else cleaned
-    contexts = context_text_for(single, messages, window)
-    # the inner join also drops ids that are no message
-    return ground(single.join(contexts, ["chat_id", "message_id"])).drop("context_text")
+    # ids that are no message drop out here
+    return ground(carry_context_text(single, messages, window)).drop("context_text")
 
 
 def in_date_order(results: DataFrame) -> DataFrame:
