@@ -21,7 +21,7 @@ def message_struct() -> Column:
     """One neighbour as the extractor sees it; the date as text."""
     return F.struct(
         "message_id",
-        F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"),
+        F.col("date").cast("string").alias("date"),
         "user",
         "message",
     )

@@ -47,16 +47,16 @@ def split_sender(raw: Column) -> tuple[Column, Column]:
 
 
 def add_calendar(rows: DataFrame) -> DataFrame:
-    """Calendar columns of `date`, and the hour period."""
-    date, hour = F.col("date"), F.hour("date")
+    """Calendar columns of `date`, and the hour period; no value depends on a time zone."""
+    date, hour, day = F.col("date"), F.hour("date"), F.to_date("date")
     return rows.select(
         "*",
         F.year(date).alias("year"),
         F.month(date).alias("month_num"),
-        F.date_format(date, "MMMM").alias("month"),
-        F.to_date(date).alias("only_date"),
+        F.date_format(day, "MMMM").alias("month"),
+        day.alias("only_date"),
         F.day(date).alias("day"),
-        F.date_format(date, "EEEE").alias("day_name"),
+        F.date_format(day, "EEEE").alias("day_name"),
         hour.alias("hour"),
         F.minute(date).alias("minute"),
         F.format_string("%02d-%02d", hour, (hour + 1) % 24).alias("period"),
