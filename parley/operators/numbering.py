@@ -16,7 +16,9 @@ from pyspark.sql.window import Window
 SLICE_IDS = 500_000
 
 
-def slice_starts(counts: DataFrame, key: str, slice_col: str, *sizes: str) -> DataFrame:
+def slice_starts(
+    counts: DataFrame, key: str, slice_col: str, *sizes: str, keep: list[str] | None = None
+) -> DataFrame:
     """(key, slice, <size>_start ...): what lies before each slice of a key, per size column."""
     ahead = (
         Window.partitionBy(key)
@@ -24,7 +26,7 @@ def slice_starts(counts: DataFrame, key: str, slice_col: str, *sizes: str) -> Da
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     starts = [F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"{n}_start") for n in sizes]
-    return counts.select(key, slice_col, *starts)
+    return counts.select(key, slice_col, *(keep or []), *starts)
 
 
 def number_rows(

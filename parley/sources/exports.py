@@ -153,39 +153,47 @@ def parse_pieces(pieces: DataFrame, pivot_year: int | None = None) -> DataFrame:
         .withColumn("text", F.array_join(F.transform("parts", lambda p: p.body), ""))
     )
 
-    # Running totals over splits: counts only.
-    counts = cut.groupBy("chat_id", "split").agg(F.sum(headers).alias("g"), F.sum(dated).alias("v"))
-    starts = slice_starts(counts, "chat_id", "split", "g", "v")
-
-    placed = local.join(starts, ["chat_id", "split"]).select(
+    # One row per split: its headers, and the text ahead of its first header, which belongs to
+    # the last message of an earlier split.
+    ahead_of_first = F.when(F.col("g") == 0, F.struct("pos", "body"))
+    splits = slice_starts(
+        numbered.groupBy("chat_id", "split").agg(
+            F.sum(headers).alias("headers"),
+            F.sum(dated).alias("dated"),
+            F.array_sort(F.collect_list(ahead_of_first)).alias("lead"),
+        ),
         "chat_id",
         "split",
-        "g",
-        (F.col("g_start") + F.col("g")).alias("nth_header"),
-        (F.col("v_start") + F.col("nth")).alias("message_id"),
-        "date",
-        "text",
+        "headers",
+        "dated",
+        keep=["headers", "lead"],
     )
-    # Text before the first header of a split ends the last message of an earlier split.
-    overhang = (
-        placed.where((F.col("g") == 0) & (F.col("nth_header") > 0) & (F.col("text") != ""))
-        .groupBy("chat_id", "nth_header")
-        .agg(F.array_sort(F.collect_list(F.struct("split", "text"))).alias("rest"))
-        .select(
-            "chat_id",
-            "nth_header",
-            F.array_join(F.transform("rest", lambda r: r.text), "").alias("rest"),
-        )
+    rests = (
+        splits.withColumn("lead", F.array_join(F.transform("lead", lambda p: p.body), ""))
+        .where((F.col("lead") != "") & (F.col("headers_start") > 0))
+        .groupBy("chat_id", F.col("headers_start").alias("last_header"))
+        .agg(F.array_sort(F.collect_list(F.struct("split", "lead"))).alias("rest"))
+        .withColumn("rest", F.array_join(F.transform("rest", lambda r: r.lead), ""))
+    )
+    placed = (
+        splits.drop("lead")
+        .withColumn("last_header", F.col("headers_start") + F.col("headers"))
+        .join(rests, ["chat_id", "last_header"], "left")
+        .select("chat_id", "split", "headers", "dated_start", "rest")
     )
+
+    # Joined where the text already lies, so each text is shuffled once.
+    rest = F.when(F.col("g") == F.col("headers"), F.col("rest"))
+    whole = F.concat("text", F.coalesce(rest, F.lit("")))
     rows = (
-        placed.where((F.col("g") > 0) & F.col("date").isNotNull())
-        .join(overhang, ["chat_id", "nth_header"], "left")
+        local.where((F.col("g") > 0) & F.col("date").isNotNull())
+        .join(placed, ["chat_id", "split"])
         .select(
             "chat_id",
-            "message_id",
+            (F.col("dated_start") + F.col("nth")).alias("message_id"),
             "date",
             # the leading hyphen belongs to the header
-            F.expr("substr(concat(text, coalesce(rest, '')), 2)").alias("raw"),
+            F.substr(whole, F.lit(2)).alias("raw"),
         )
     )
     return _to_messages(rows)
