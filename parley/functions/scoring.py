@@ -52,8 +52,11 @@ _FOLD_FROM, _FOLD_TO = "\u0131\u017f", "is"
 
 
 def any_of(patterns: list[str]) -> str:
-    """One alternation per family, so a text is walked once per family."""
-    return "|".join(f"(?:{p})" for p in patterns)
+    """One alternation per family: a text is walked once, and its word starts tested once."""
+    edge = r"\b"
+    assert all(p.startswith(edge) and p.endswith(edge) for p in patterns)
+    inner = "|".join(p[len(edge) : -len(edge)] for p in patterns)
+    return f"{edge}(?:{inner}){edge}"
 
 
 def scoring_text(message: Column) -> Column:
@@ -63,11 +66,11 @@ def scoring_text(message: Column) -> Column:
 
 def is_small_talk(text: Column) -> Column:
     """Nothing in a scoring text worth a closer look: one word, a greeting or links only."""
-    links_only = text.contains("http") | text.contains("www.")
+    has_link = text.contains("http") | text.contains("www.")
     return (
-        (tx.word_count(text) <= 1)
+        ~text.rlike(f"[{tx.WS}]")
         | text.isin(SMALL_TALK)
-        | (links_only & tx.is_blank(F.regexp_replace(text, tx.FULL_URL, "")))
+        | (has_link & tx.is_blank(F.regexp_replace(text, tx.FULL_URL, "")))
     )
 
 
