@@ -30,8 +30,11 @@ CANDIDATE_COLUMNS = ["date", "user", "message", "candidate_score", "candidate_re
 _TIME_WORDS = r"(?iu)\b(today|tomorrow|tonight|aaj|kal|\d{1,2}(?:st|nd|rd|th)|\d{1,2} baje)\b"
 
 
-def extract_rules(candidates: DataFrame) -> DataFrame:
-    """Extraction fields from the candidate's own signals; the evidence is the message."""
+def extract_rules(candidates: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Extraction fields from the candidate's own signals; the evidence is the message.
+
+    ``keep`` names further columns of the candidates to pass on.
+    """
     has = lambda name: F.array_contains(F.split("candidate_reason", ", "), name)
     kind = (
         F.when(has("action"), "task")
@@ -55,6 +58,7 @@ def extract_rules(candidates: DataFrame) -> DataFrame:
         .alias("priority"),
         F.least(F.lit(1.0), F.col("candidate_score") / F.lit(10.0)).alias("confidence"),
         F.col("message").alias("evidence"),
+        *keep,
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from ..functions import vectors as vec
 from ..operators import candidates as cand
 from ..operators import extract, search, validate
+from ..operators.context import attach_context_text
 
 
 def analyze_chat(
@@ -15,13 +16,19 @@ def analyze_chat(
     batch_size: int = cand.BATCH_SIZE,
     extractor: extract.Extractor | None = None,
 ) -> DataFrame:
-    """Candidates, extraction and validation in one lazy plan.
+    """Candidates, extraction and validation.
 
-    Chats without candidates give no rows; the columns stay.
+    Chats without candidates give no rows; the columns stay. With the built-in rules this is one
+    lazy plan with one pass over the messages: each gets its surrounding text from a window over
+    blocks of the chat, and all further steps look at single rows. A caller's ``extractor`` goes
+    through stored batches.
     """
-    found = cand.filter_candidates(messages)
+    if extractor is None:
+        around = attach_context_text(messages, validate.GROUNDING_WINDOW)
+        found = extract.extract_rules(cand.filter_candidates(around), keep=("context_text",))
+        return validate.ground(validate.clean_fields(found)).drop("context_text")
     results = extract.analyze_candidates(
-        messages, found, window, batch_size, extractor=extractor
+        messages, cand.filter_candidates(messages), window, batch_size, extractor=extractor
     )
     # one result per candidate, so the input order has nothing to decide
     return validate.validate_results(results, messages)

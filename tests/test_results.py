@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import parley as pl
+from catalog import fixtures as fx
 from parley.functions import vectors as vec
 from parley.operators import extract as ex
 from parley.schema import AI_RESULTS
@@ -124,6 +125,17 @@ def test_last_answer_wins_and_bad_batches_drop(spark, talk):
     assert pl.analyze_chat(talk, extractor=lambda batch: [{"message_id": 1}]).count() == 0
 
 
+def test_one_pass_equals_the_separate_steps(spark, sf):
+    messages = fx.messages(spark, sf)
+    steps = pl.validate_results(
+        pl.analyze_candidates(messages, pl.filter_candidates(messages)), messages
+    )
+    whole = pl.analyze_chat(messages)
+    assert sorted(map(str, whole.select(*steps.columns).collect())) == sorted(
+        map(str, steps.collect())
+    )
+
+
 def test_no_candidates_gives_typed_empty_results(chat):
     quiet = pl.analyze_chat(chat(("A", "ok"), ("B", "fine then")))
     assert quiet.count() == 0 and {"type", "evidence", "confidence"} <= set(quiet.columns)
