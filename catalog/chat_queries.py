@@ -557,11 +557,11 @@ SELECT chat_id, batch_no::BIGINT AS batch_no, count(*)::INT AS items,
   string_agg(message_id::VARCHAR, ',' ORDER BY message_id) AS message_ids,
   sum(around_n)::INT AS context_messages
 FROM numbered JOIN (SELECT chat_id, message_id, around_n FROM ctx) USING (chat_id, message_id)
-WHERE batch_no < 40 GROUP BY chat_id, batch_no""",
+GROUP BY chat_id, batch_no""",
 )
 def batches(spark, sf):
     messages = fx.messages(spark, sf)
-    made = pl.create_batches(messages, pl.filter_candidates(messages), max_batches=40)
+    made = pl.create_batches(messages, pl.filter_candidates(messages))
     sizes = F.transform(
         "items", lambda i: F.size(i.context.previous) + F.size(i.context.next) + F.lit(1)
     )
