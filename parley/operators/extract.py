@@ -148,7 +148,8 @@ def analyze_candidates(
             candidates = add_batch_numbers(candidates, batch_size, max_batches)
         return extract_rules(candidates)
     # Model calls are dear and may answer differently next time: candidates and answers are
-    # stored before anything reads them twice, so a lost executor repeats no call that is done.
+    # stored before anything reads them twice. Each batch is sent once; only the unfinished
+    # tasks of a lost executor are sent again.
     stored = materialize(candidates)
     numbered = add_batch_numbers(stored, batch_size, max_batches)
     batches = create_batches(messages, stored, batch_size, window, max_batches)

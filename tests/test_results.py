@@ -125,6 +125,21 @@ def test_last_answer_wins_and_bad_batches_drop(spark, talk):
     assert pl.analyze_chat(talk, extractor=lambda batch: [{"message_id": 1}]).count() == 0
 
 
+def test_every_batch_is_sent_once(spark, sf, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def extractor(batch):
+        with open(log, "a") as file:
+            file.write(f"{batch[0]['context']['current']['user']} {batch[0]['message_id']}\n")
+        return []
+
+    messages = fx.messages(spark, sf)
+    sent = pl.create_batches(messages, pl.filter_candidates(messages)).count()
+    pl.analyze_chat(messages, extractor=extractor).count()
+    with open(log) as file:
+        assert len(file.readlines()) == sent
+
+
 def test_one_pass_equals_the_separate_steps(spark, sf):
     messages = fx.messages(spark, sf)
     steps = pl.validate_results(
