@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import language, packing, quality, simhash, token_files
+from parley.llm import language, packing, quality, simhash, token_files, toxicity
 from parley.llm.shared import ids_crc32, shared_folder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -40,11 +40,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op5_token_files": op5_token_files,
     "op6_language": op6_language,
     "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLES: dict[str, str] = {}
