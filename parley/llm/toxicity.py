@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Voters: LEXICONS word lists, found as the words and word stems that are the surest
-to lie in toxic training rows and dealt out by rank, and fixed patterns of shouting and abuse. A generative label model
+to lie in toxic training rows and dealt out by their first letters, and fixed patterns of shouting and abuse. A generative label model
 estimates by expectation-maximisation how often each voter fires on either class; voters that fire
 together beyond what the class explains share one vote's weight. Its posteriors are the labels of a
 linear classifier over words and stems hashed to 32 bits, which scores every text.
@@ -32,17 +32,23 @@ from parley.llm.shared import bounded, stored
 from parley.llm.words import split_words
 
 TRAIN_ROWS = 12_000
-LEXICONS = 12
+LEXICONS = 24
+#: First letters by which terms are dealt out, so that forms of one word share a list.
+FAMILY = 3
 LEXICON_WORDS = 120
 #: Lower end of the 95 % interval of a term's share of toxic documents from which it enters a list.
 LEAST_SURE = 0.6
 Z = 1.96
 STEMS = (3, 4, 5)
+#: Accuracy from which the estimate of a word list's accuracy starts.
+START = 0.9
 STEPS = 500
-RATE = 1.0
+RATE = 0.3
 #: Summed residuals of documents with a feature below which it gets no weight.
 PENALTY = 1.0
 LEAST_FEATURE_DOCS = 5
+#: Share of rows above which a feature is too common to be used.
+COMMON = 0.05
 #: Characters around a word that do not belong to it.
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-+=~_/\\"
 PATTERNS = (
@@ -80,7 +86,7 @@ def lexicons(train: DataFrame) -> dict[str, int]:
         .orderBy(F.desc("sure"), "term")
         .limit(LEXICON_WORDS)
     )
-    return {row.term: i % LEXICONS for i, row in enumerate(found.collect())}
+    return {r.term: zlib.crc32(r.term[:FAMILY].encode()) % LEXICONS for r in found.collect()}
 
 
 def term_hashes(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -102,25 +108,28 @@ def term_hashes(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.nd
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
-    """Posterior probability of the toxic class of each row of 0/1 votes.
+    """Posterior probability of the toxic class of each row of 0/1 votes, without its label.
 
-    Firing rates per class are estimated without labels, from the prior and the votes alone. A
-    voter's weight is one over one plus the sum of its positive correlations with others given the class.
+    A voter that fires says toxic, one that does not abstains; where none of the lists fires, a
+    further voter says clean. Expectation-maximisation estimates the accuracy of each, starting at
+    START for lists and at the prior for patterns. A voter counts less the more it fires together with
+    others beyond what the class explains.
     """
-    fired = votes.mean(0)
-    high = np.clip(3 * fired, 0.2, 0.6)
-    low = np.clip(fired * 0.1, 1e-4, 0.05)
-    weight = np.ones(votes.shape[1])
-    odds = np.log(prior / (1 - prior))
+    lists = np.arange(votes.shape[1]) < LEXICONS
+    start = np.where(lists, START, prior)
+    clean = votes[:, lists].sum(1) == 0
+    accuracy, clean_accuracy, weight = start, 1 - prior, np.ones(len(start))
     for _ in range(rounds):
-        each = votes * np.log(high / low) + (1 - votes) * np.log((1 - high) / (1 - low))
-        p = 1 / (1 + np.exp(-np.clip(odds + each @ weight, -30, 30)))
-        high = np.clip((p @ votes + 0.5) / (p.sum() + 1), 1e-4, 0.999)
-        low = np.clip(((1 - p) @ votes + 0.01) / ((1 - p).sum() + 1), 1e-5, 0.999)
-        rest = votes - (p[:, None] * high + (1 - p)[:, None] * low)
+        gain = np.maximum(np.log(accuracy / (1 - accuracy)), 0) * weight
+        against = clean * np.log(clean_accuracy / (1 - clean_accuracy))
+        p = sigmoid(votes @ gain - against)
+        accuracy = np.clip((p @ votes + start) / (votes.sum(0) + 1), 0.01, 0.99)
+        clean_accuracy = np.clip(((1 - p) @ clean + 1) / (clean.sum() + 1), 0.6, 0.99)
+        rate = [(q @ votes + 1e-6) / (q.sum() + 1e-3) for q in (p, 1 - p)]
+        rest = votes - p[:, None] * rate[0] - (1 - p)[:, None] * rate[1]
         scale = np.sqrt((rest**2).mean(0)) + 1e-6
         together = (rest.T @ rest) / len(votes) / np.outer(scale, scale)
-        weight = 1 / (1 + np.clip(together - np.eye(len(scale)), 0, 1).sum(0) / 2)
+        weight = 1 / (1 + np.clip(together - np.eye(len(scale)), 0, 1).sum(0))
     return p
 
 
@@ -150,7 +159,7 @@ def train_classifier(owner: np.ndarray, hashed: np.ndarray, target: np.ndarray)
     """
     hashes, feature = np.unique(hashed, return_inverse=True)
     docs = np.bincount(feature)
-    frequent = docs >= LEAST_FEATURE_DOCS
+    frequent = (docs >= LEAST_FEATURE_DOCS) & (docs <= COMMON * len(target))
     used = frequent[feature]
     hashes, docs = hashes[frequent], docs[frequent]
     owner, feature = owner[used], (np.cumsum(frequent) - 1)[feature[used]]
