@@ -65,8 +65,11 @@ def terms(text: Column) -> Column:
         F.split(F.lower(text), r"[ \t-\r]+"), lambda w: F.btrim(w, F.lit(EDGES))
     )
     words = F.array_remove(words, "")
-    stems = [F.transform(words, lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit(f"*{n}"))) for n in STEMS]
-    return F.array_distinct(F.concat(words, *stems))
+
+    def stems(n: int) -> Column:
+        return F.transform(words, lambda w: F.concat(F.substring(w, 1, n), F.lit(f"*{n}")))
+
+    return F.array_distinct(F.concat(words, *map(stems, STEMS)))
 
 
 def lexicons(train: DataFrame) -> dict[str, int]:
