@@ -9,7 +9,7 @@ linear classifier over words and stems hashed to 32 bits, which scores every tex
 Training rows are bounded: TRAIN_ROWS labelled documents of the smallest hashes whose ids are
 broadcast, so texts are not shuffled. Everything else runs in tasks over all texts.
 
-Null and blank texts have no features: their score is the classifier's base rate. Repeated rows are
+Null and blank texts have no features: they score as a text without any learned term. Repeated rows are
 scored each; a null doc_id is not held out and never learned from; without training rows all scores
 are 0.
 """
@@ -42,6 +42,8 @@ Z = 1.96
 STEMS = (3, 4, 5)
 #: Accuracy from which the estimate of a word list's accuracy starts.
 START = 0.9
+#: Log-odds of a text without any learned term.
+OFFSET = -3.0
 STEPS = 500
 RATE = 0.3
 #: Summed residuals of documents with a feature below which it gets no weight.
@@ -142,12 +144,11 @@ class Classifier:
 
     hashes: np.ndarray
     weights: np.ndarray
-    offset: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
         owner, hashed = term_hashes(texts, self.hashes)
         each = self.weights[np.searchsorted(self.hashes, hashed)]
-        return sigmoid(np.bincount(owner, each, len(texts)) + self.offset)
+        return sigmoid(np.bincount(owner, each, len(texts)) + OFFSET)
 
 
 def sigmoid(values: np.ndarray) -> np.ndarray:
@@ -157,7 +158,7 @@ def sigmoid(values: np.ndarray) -> np.ndarray:
 def train_classifier(owner: np.ndarray, hashed: np.ndarray, target: np.ndarray) -> Classifier:
     """Logistic regression on soft targets with an L1 penalty, by proximal gradient steps.
 
-    The penalty leaves features of few documents without weight, so rare words are not learned
+    Weights are not negative: terms speak for toxicity or not at all. The penalty leaves features of few documents without weight, so rare words are not learned
     by heart.
     """
     hashes, feature = np.unique(hashed, return_inverse=True)
@@ -166,15 +167,13 @@ def train_classifier(owner: np.ndarray, hashed: np.ndarray, target: np.ndarray)
     used = frequent[feature]
     hashes, docs = hashes[frequent], docs[frequent]
     owner, feature = owner[used], (np.cumsum(frequent) - 1)[feature[used]]
-    base = np.clip(target.mean(), 1e-3, 0.5)
-    weights, offset = np.zeros(len(hashes)), float(np.log(base / (1 - base)))
+    weights = np.zeros(len(hashes))
     size = RATE / np.sqrt(docs * np.maximum(docs, 25))
     for _ in range(STEPS):
-        error = sigmoid(np.bincount(owner, weights[feature], len(target)) + offset) - target
+        error = sigmoid(np.bincount(owner, weights[feature], len(target)) + OFFSET) - target
         moved = weights - size * np.bincount(feature, error[owner], len(hashes))
-        weights = np.sign(moved) * np.maximum(np.abs(moved) - size * PENALTY, 0)
-        offset -= RATE * float(error.mean())
-    return Classifier(hashes[weights != 0], weights[weights != 0], offset)
+        weights = np.maximum(moved - size * PENALTY, 0)
+    return Classifier(hashes[weights > 0], weights[weights > 0])
 
 
 def voted(train: DataFrame, lists: dict[str, int]) -> pd.DataFrame:
