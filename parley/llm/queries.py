@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import language, packing, quality, simhash, token_files, toxicity
+from parley.llm import html_text, language, packing, quality, secrets, simhash, token_files, toxicity
 from parley.llm.shared import ids_crc32, shared_folder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER, end_id=2)
@@ -44,12 +48,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_secrets": op4_secrets,
     "op5_token_files": op5_token_files,
     "op6_language": op6_language,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
+    "op10_html": op10_html,
 }
 ORACLES: dict[str, str] = {}

@@ -45,9 +45,9 @@ START = 0.9
 #: Log-odds of a text without any learned term.
 OFFSET = -3.0
 STEPS = 500
-RATE = 0.3
+RATE = 1.0
 #: Summed residuals of documents with a feature below which it gets no weight.
-PENALTY = 1.0
+PENALTY = 0.3
 LEAST_FEATURE_DOCS = 5
 #: Share of rows above which a feature is too common to be used.
 COMMON = 0.05
