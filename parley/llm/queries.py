@@ -7,7 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import html_text, language, packing, quality, secrets, simhash, token_files, toxicity
+from parley.llm import (
+    decontamination,
+    html_text,
+    language,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    token_files,
+    toxicity,
+)
 from parley.llm.shared import ids_crc32, shared_folder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.leaks(documents, items).drop("row")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, end_id=1)
     return rows.withColumn("ids_crc32", ids_crc32("ids")).drop("ids")
@@ -53,6 +68,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_secrets": op4_secrets,
