@@ -13,6 +13,7 @@ from parley.llm import (
     language,
     packing,
     quality,
+    repeats,
     secrets,
     simhash,
     token_files,
@@ -63,6 +64,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
+    "op9_repeats": op9_repeats,
     "op10_html": op10_html,
 }
 ORACLES: dict[str, str] = {}
