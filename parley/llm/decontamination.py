@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.shared import stored
+from parley.llm.shared import numbered, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -100,8 +100,8 @@ def prepared(items: DataFrame) -> DataFrame:
     fewer = rows.where(F.col("size") < SHINGLE).select(
         "item_id", "size", F.col("size").alias("width"), F.array(F.xxhash64("words")).alias("hashes")
     )
-    both = stored(five.union(fewer), "items").withColumn("item", F.monotonically_increasing_id())
-    return stored(both.withColumn("fp", fingerprint(F.col("hashes"))), "fingerprints")
+    both = five.union(fewer).withColumn("item", F.monotonically_increasing_id())
+    return stored(both.withColumn("fp", fingerprint(F.col("hashes"))), "items")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -124,13 +124,13 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     """(row, doc_id, item_id, similarity, distance, start_word, n_words): the best window of each
     document and item whose similarity reaches the threshold.
 
-    row numbers the rows of docs as monotonically_increasing_id does.
+    docs holds doc_id, text and the number _row of each row.
     """
     known = prepared(items)
     # one small row for each shingle width in use, five at most
     widths = sorted(r.width for r in known.select("width").distinct().collect())
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        F.col("_row").alias("row"),
         F.col("doc_id").cast("long"),
         words(F.col("text")).alias("words"),
     )
@@ -209,9 +209,14 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     )
 
 
+def report(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document and item that it holds."""
+    rows = numbered(docs.select("doc_id", "text"), "documents")
+    return leaks(rows, items, threshold).drop("row")
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no item; all columns stay."""
-    kept = stored(docs, "judged")
-    found = leaks(kept, items, threshold).select(F.col("row").alias("_row")).distinct()
-    numbered = kept.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(found, "_row", "left_anti").select(*docs.columns)
+    rows = numbered(docs, "documents")
+    found = leaks(rows, items, threshold).select(F.col("row").alias("_row")).distinct()
+    return rows.join(found, "_row", "left_anti").select(*docs.columns)

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return decontamination.leaks(documents, items).drop("row")
+    return decontamination.report(documents, items)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ alone; README gives the figures. The same set of bytes is found from far fewer r
 * Each string of an open segment, and of one example of each other segment with that anchor, gets a
   128-bit hash; strings whose hash occurs twice are repeated.
 
-Grouping is by hash with counts added before the shuffle; no group is gathered in one task, and all
+Rows are known by doc_id and a hash of the text, which stay the same however files are split;
+repeated rows, which share them, have equal spans. Grouping is by hash with counts added before the shuffle; no group is gathered in one task, and all
 copies of a segment cost one row each. Texts are UTF-8 bytes; null is empty; texts shorter than LENGTH
 have nothing to remove; repeated rows remove each other; a null doc_id is carried along; an empty table gives
 no rows.
@@ -35,6 +36,7 @@ GRAM = 64
 REACH = LENGTH - GRAM + 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 TURN = 1 << 64
+NO_ID = -(1 << 63)
 
 
 def run_hashes(data: np.ndarray, base: int) -> dict[int, np.ndarray]:
@@ -85,18 +87,18 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(row, lo, hi, anchor, a, b): segments with a 128-bit hash of their bytes."""
+    """(id, row, lo, hi, anchor, a, b): segments with a 128-bit hash of their bytes."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
             row, lo, hi, anchor, keys = [], [], [], [], []
-            for number, text in zip(batch.column("row").to_pylist(), batch.column("text")):
+            for number, text in enumerate(batch.column("text")):
                 data = text.as_buffer() if text.is_valid else b""
                 if len(data) < LENGTH:
                     continue
                 data = bytes(data)
                 first, last, hashes = segments(np.frombuffer(data, "u1"))
-                row.append(np.full(len(first), number, "i8"))
+                row.append(np.full(len(first), number, "i4"))
                 lo.append(first)
                 hi.append(last)
                 anchor.append(hashes)
@@ -106,24 +108,26 @@ def occurrences(rows: DataFrame) -> DataFrame:
                 ]
             if row:
                 key = np.frombuffer(b"".join(keys), "i8").reshape(-1, 2)
+                row = pa.array(np.concatenate(row))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(row)),
+                        batch.column("id").take(row),
+                        batch.column("row").take(row),
                         pa.array(np.concatenate(lo).astype("i4")),
                         pa.array(np.concatenate(hi).astype("i4")),
                         pa.array(np.concatenate(anchor).view("i8")),
                         pa.array(np.ascontiguousarray(key[:, 0])),
                         pa.array(np.ascontiguousarray(key[:, 1])),
                     ],
-                    names=["row", "lo", "hi", "anchor", "a", "b"],
+                    names=["id", "row", "lo", "hi", "anchor", "a", "b"],
                 )
 
-    return rows.select("row", "text").mapInArrow(cut, "row long, lo int, hi int, anchor long, a long, b long")
+    return rows.select("id", "row", "text").mapInArrow(cut, "id long, row long, lo int, hi int, anchor long, a long, b long")
 
 
 def by_row(spans: DataFrame) -> DataFrame:
     """Spans (lo, hi) of each row as lists; a list is bounded by its text."""
-    return spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return spans.groupBy("id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def span_arrays(column: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,29 +138,35 @@ def span_arrays(column: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def open_strings(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """(row, lo, a, b): the strings that start inside the given spans, by 128-bit hash."""
+    """(id, row, lo, a, b): the strings that start inside the given spans, by 128-bit hash."""
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
-            for i, number in enumerate(batch.column("row").to_pylist()):
+            for i in range(batch.num_rows):
                 data = np.frombuffer(bytes(batch.column("text")[i].as_buffer()), "u1")
                 lo, hi = span_arrays(batch.column("spans"), i)
                 at = np.concatenate([np.arange(a, b + 1, dtype="i4") for a, b in zip(lo, hi)])
                 both = [string_hashes(data, base)[at].view("i8") for base in BASES]
+                row = pa.array(np.full(len(at), i, "i4"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), number, "i8")), pa.array(at), *map(pa.array, both)],
-                    names=["row", "lo", "a", "b"],
+                    [
+                        batch.column("id").take(row),
+                        batch.column("row").take(row),
+                        pa.array(at),
+                        *map(pa.array, both),
+                    ],
+                    names=["id", "row", "lo", "a", "b"],
                 )
 
-    found = rows.select("row", "text").join(by_row(spans), "row")
-    return found.mapInArrow(hashed, "row long, lo int, a long, b long")
+    found = rows.select("id", "row", "text").join(by_row(spans), ["id", "row"])
+    return found.mapInArrow(hashed, "id long, row long, lo int, a long, b long")
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(row, lo, hi): places where repeated strings start."""
+    """(id, row, lo, hi): places where repeated strings start."""
     all_segments = stored(occurrences(rows), "segments", compression="zstd")
     distinct = all_segments.groupBy("anchor", "a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "lo")).alias("example")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row", "lo")).alias("example")
     )
     anchors = (
         distinct.groupBy("anchor")
@@ -166,11 +176,11 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     )
     known = distinct.join(anchors, "anchor").select("anchor", "a", "b", "n", "example", "kinds")
     met = stored(all_segments.join(known, ["anchor", "a", "b"]).drop("anchor", "a", "b"), "met", compression="zstd")
-    whole = met.where("n > 1").select("row", "lo", "hi")
-    opened = met.where("kinds > 1 AND (n = 1 OR (row = example.row AND lo = example.lo))")
-    strings = stored(open_strings(rows, opened.select("row", "lo", "hi")), "strings", compression="zstd")
+    whole = met.where("n > 1").select("id", "row", "lo", "hi")
+    opened = met.where("kinds > 1 AND (n = 1 OR (id = example.id AND row = example.row AND lo = example.lo))")
+    strings = stored(open_strings(rows, opened.select("id", "row", "lo", "hi")), "strings", compression="zstd")
     twice = strings.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    single = strings.join(twice, ["a", "b"]).select("row", "lo", F.col("lo").alias("hi"))
+    single = strings.join(twice, ["a", "b"]).select("id", "row", "lo", F.col("lo").alias("hi"))
     return whole.union(single)
 
 
@@ -189,7 +199,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(
         F.col("doc_id").cast("long"),
-        F.monotonically_increasing_id().alias("row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+        F.xxhash64("text").alias("row"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
     )
     spans = by_row(repeated_spans(rows))
@@ -207,6 +218,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns += [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(
+    return rows.join(spans, ["id", "row"], "left").select("doc_id", "text", "spans").mapInArrow(
         keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.shared import stored
+from parley.llm.shared import numbered, stored
 
 # --- fixed values: base patterns; the second group of assign has 12 or more characters -----------
 ASSIGN = (
@@ -163,9 +163,9 @@ def thresholds(judged: DataFrame, rate: float = RATE) -> dict[int, float]:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """Stored rows (doc_id, row, base spans, candidates); row numbers the given rows."""
+    """Stored rows (doc_id, row, base spans, candidates) of docs with a number _row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("_row").alias("row"), text.alias("text"))
     found = rows.select(
         "doc_id",
         "row",
@@ -188,7 +188,7 @@ def labelled(spans: Column, kind: int) -> Column:
 def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, row, base, spans) of every row of docs; spans hold base and added ones in order.
 
-    row numbers the rows of docs as monotonically_increasing_id does.
+    docs holds doc_id, text and the number _row of each row; texts are read once.
     """
     rows = located(docs)
     candidates = rows.where(F.size("candidates") > 0).select("row", "base", F.explode("candidates").alias("c"))
@@ -221,7 +221,7 @@ def listing(spans: Column) -> Column:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans of every document."""
-    rows = scan(docs)
+    rows = scan(docs.withColumn("_row", F.monotonically_increasing_id()))
 
     def counted(kind: int) -> Column:
         return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
@@ -255,8 +255,9 @@ def redacted(text: Column, spans: Column, mark: str) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with secrets replaced in their texts; all columns and rows stay."""
-    kept = stored(docs, "scanned").withColumn("_row", F.monotonically_increasing_id())
-    found = scan(kept).where(F.size("spans") > 0).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    kept = numbered(docs, "scanned")
+    found = scan(kept).where(F.size("spans") > 0)
+    found = found.select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
     joined = kept.join(found, "_row", "left")
     clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
         redacted(F.col("text"), F.col("_spans"), mark)

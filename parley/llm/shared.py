@@ -40,6 +40,14 @@ def stored(rows: DataFrame, name: str, **options: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """The rows stored with a number each (_row), the same in every later read.
+
+    Numbers made at each read would change with the file splits when executors come or go.
+    """
+    return stored(rows.withColumn("_row", F.monotonically_increasing_id()), name, compression="zstd")
+
+
 def bounded(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts hold BATCH_BYTES at most, or one text."""
     for batch in batches:

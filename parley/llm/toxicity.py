@@ -254,3 +254,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         probability(F.col("text").cast("string"), model).alias("score"),
     )
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents that score below the threshold; all columns stay."""
+    model = fit(training_rows(docs, labels))
+    return docs.where(probability(F.col("text").cast("string"), model) < threshold)
