@@ -31,7 +31,7 @@ from parley.llm.language import id_remainder
 from parley.llm.shared import bounded, stored
 from parley.llm.words import split_words
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 5_000
 LEXICONS = 24
 #: First letters by which terms are dealt out, so that forms of one word share a list.
 FAMILY = 3
@@ -161,19 +161,18 @@ def train_classifier(owner: np.ndarray, hashed: np.ndarray, target: np.ndarray)
     Weights are not negative: terms speak for toxicity or not at all. The penalty leaves features of few documents without weight, so rare words are not learned
     by heart.
     """
-    hashes, feature = np.unique(hashed, return_inverse=True)
-    docs = np.bincount(feature)
+    hashes, docs = np.unique(hashed, return_counts=True)
     frequent = (docs >= LEAST_FEATURE_DOCS) & (docs <= COMMON * len(target))
-    used = frequent[feature]
     hashes, docs = hashes[frequent], docs[frequent]
-    owner, feature = owner[used], (np.cumsum(frequent) - 1)[feature[used]]
+    used = np.isin(hashed, hashes)
+    owner, feature = owner[used], np.searchsorted(hashes, hashed[used]).astype("i4")
     weights = np.zeros(len(hashes))
     size = RATE / np.sqrt(docs * np.maximum(docs, 25))
     for _ in range(STEPS):
         error = sigmoid(np.bincount(owner, weights[feature], len(target)) + OFFSET) - target
         moved = weights - size * np.bincount(feature, error[owner], len(hashes))
         weights = np.maximum(moved - size * PENALTY, 0)
-    return Classifier(hashes[weights > 0], weights[weights > 0])
+    return Classifier(hashes[weights > 0].astype("i8"), weights[weights > 0])
 
 
 def voted(train: DataFrame, lists: dict[str, int]) -> pd.DataFrame:
@@ -197,12 +196,12 @@ def voted(train: DataFrame, lists: dict[str, int]) -> pd.DataFrame:
                 [
                     batch.column("doc_id"),
                     pa.array(votes.tolist(), pa.list_(pa.int32())),
-                    pa.ListArray.from_arrays(cuts, hashed),
+                    pa.ListArray.from_arrays(cuts, hashed.astype("u4").view("i4")),
                 ],
                 names=["doc_id", "votes", "features"],
             )
 
-    rows = train.select("doc_id", "text").mapInArrow(run, "doc_id long, votes array<int>, features array<long>")
+    rows = train.select("doc_id", "text").mapInArrow(run, "doc_id long, votes array<int>, features array<int>")
     return rows.toPandas().sort_values("doc_id", kind="stable")
 
 
@@ -214,8 +213,9 @@ def fit(train: DataFrame) -> Classifier | None:
     rows = voted(train, lists)
     prior = float(train.agg(F.avg("toxic")).first()[0])
     posterior = label_model(np.stack(rows.votes.to_numpy()).astype("f8"), prior)
-    owner = np.repeat(np.arange(len(rows)), rows.features.map(len))
-    return train_classifier(owner, np.concatenate(rows.features.to_numpy()).astype("i8"), posterior)
+    owner = np.repeat(np.arange(len(rows), dtype="i4"), rows.features.map(len))
+    hashed = np.concatenate(rows.pop("features").to_numpy()).view("u4")
+    return train_classifier(owner, hashed, posterior)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
