@@ -214,7 +214,7 @@ def fit(train: DataFrame) -> Classifier | None:
     prior = float(train.agg(F.avg("toxic")).first()[0])
     posterior = label_model(np.stack(rows.votes.to_numpy()).astype("f8"), prior)
     owner = np.repeat(np.arange(len(rows), dtype="i4"), rows.features.map(len))
-    hashed = np.concatenate(rows.pop("features").to_numpy()).view("u4")
+    hashed = np.concatenate(rows.pop("features").to_numpy()).astype("i4").view("u4")
     return train_classifier(owner, hashed, posterior)
 
 
