@@ -43,11 +43,11 @@ STEMS = (3, 4, 5)
 #: Accuracy from which the estimate of a word list's accuracy starts.
 START = 0.9
 #: Log-odds of a text without any learned term.
-OFFSET = -3.0
+OFFSET = -2.2
 STEPS = 500
 RATE = 1.0
 #: Summed residuals of documents with a feature below which it gets no weight.
-PENALTY = 0.3
+PENALTY = 0.1
 LEAST_FEATURE_DOCS = 5
 #: Share of rows above which a feature is too common to be used.
 COMMON = 0.05
