@@ -43,13 +43,13 @@ STEMS = (3, 4, 5)
 #: Accuracy from which the estimate of a word list's accuracy starts.
 START = 0.9
 #: Log-odds of a text without any learned term.
-OFFSET = -2.2
+OFFSET = -2.8
 STEPS = 500
 RATE = 1.0
 #: Summed residuals of documents with a feature below which it gets no weight.
-PENALTY = 0.1
+PENALTY = 0.3
 LEAST_FEATURE_DOCS = 5
-#: Share of rows above which a feature is too common to be used.
+#: Share of rows above which a feature is too common to be used, unless a word list holds it.
 COMMON = 0.05
 #: Characters around a word that do not belong to it.
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-+=~_/\\"
@@ -155,14 +155,17 @@ def sigmoid(values: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(values, -30, 30)))
 
 
-def train_classifier(owner: np.ndarray, hashed: np.ndarray, target: np.ndarray) -> Classifier:
+def train_classifier(
+    owner: np.ndarray, hashed: np.ndarray, target: np.ndarray, listed: np.ndarray
+) -> Classifier:
     """Logistic regression on soft targets with an L1 penalty, by proximal gradient steps.
 
     Weights are not negative: terms speak for toxicity or not at all. The penalty leaves features of few documents without weight, so rare words are not learned
     by heart.
     """
     hashes, docs = np.unique(hashed, return_counts=True)
-    frequent = (docs >= LEAST_FEATURE_DOCS) & (docs <= COMMON * len(target))
+    common = (docs > COMMON * len(target)) & ~np.isin(hashes, listed)
+    frequent = (docs >= LEAST_FEATURE_DOCS) & ~common
     hashes, docs = hashes[frequent], docs[frequent]
     used = np.isin(hashed, hashes)
     owner, feature = owner[used], np.searchsorted(hashes, hashed[used]).astype("i4")
@@ -215,7 +218,8 @@ def fit(train: DataFrame) -> Classifier | None:
     posterior = label_model(np.stack(rows.votes.to_numpy()).astype("f8"), prior)
     owner = np.repeat(np.arange(len(rows), dtype="i4"), rows.features.map(len))
     hashed = np.concatenate(rows.pop("features").to_numpy()).astype("i4").view("u4")
-    return train_classifier(owner, hashed, posterior)
+    listed = np.array([zlib.crc32(term.encode()) for term in lists], "u4")
+    return train_classifier(owner, hashed, posterior, listed)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
