@@ -47,9 +47,16 @@ def extract_rules(spark, sf):
     return pl.extract_rules(pl.filter_candidates(fx.messages(spark, sf)))
 
 
-@register("analyze_candidates", f"""WITH {MSGS}, {CANDS}, {RULES}, {NUMBERED}
-SELECT rules.* FROM rules JOIN numbered USING (chat_id, message_id) WHERE batch_no < 30""")
+@register("analyze_candidates", f"WITH {MSGS}, {CANDS}, {RULES} SELECT * FROM rules")
 def analyze_candidates(spark, sf):
+    messages = fx.messages(spark, sf)
+    return pl.analyze_candidates(messages, pl.filter_candidates(messages))
+
+
+@register("max_batches", f"""WITH {MSGS}, {CANDS}, {RULES}, {NUMBERED}
+SELECT rules.* FROM rules JOIN numbered USING (chat_id, message_id) WHERE batch_no < 30""")
+def max_batches(spark, sf):
+    """The parameter that stops after a number of batches per chat."""
     messages = fx.messages(spark, sf)
     return pl.analyze_candidates(messages, pl.filter_candidates(messages), max_batches=30)
 

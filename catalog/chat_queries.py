@@ -100,7 +100,7 @@ _YEARS = """CASE event_id // 462 % 5
   SELECT event_id, {_D} AS a, {_M} AS b, {_YEARS} AS ytext, {_H} AS h, {_MI} AS mi, {_PM} AS pm
   FROM events),
 q AS (
-  SELECT *, b > 12 AND a <= 12 AS swapped, ytext::INT AS y FROM p WHERE len(ytext) IN (2, 3, 4)),
+  SELECT *, b > 12 AND a <= 12 AS swapped, ytext::INT AS y FROM p),
 r AS (
   SELECT event_id, h, mi, pm,
     CASE WHEN swapped THEN b ELSE a END AS d, CASE WHEN swapped THEN a ELSE b END AS m,
@@ -130,7 +130,6 @@ def parse_timestamp(spark, sf):
     )
     return (
         fx.table(spark, sf, "events")
-        .where(F.length(year).between(2, 4))
         .select("event_id", stamp.alias("stamp"))
         .select("event_id", F.expr(ts.stamp_to_date("stamp", fx.PIVOT_YEAR)).alias("date"))
         .where(F.col("date").isNotNull())

@@ -62,12 +62,42 @@ def extract_rules(candidates: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
     )
 
 
-def extract_with(batches: DataFrame, extractor: Extractor) -> DataFrame:
+KINDS = {
+    T.BooleanType: (bool,),
+    T.StringType: (str,),
+    T.LongType: (int,),
+    T.IntegerType: (int,),
+    T.DoubleType: (int, float),
+}
+
+
+def checked(result: dict) -> tuple:
+    """Extraction fields of one answer; raises if one is missing or of another type."""
+    values = []
+    for field in EXTRACTION.fields:
+        value = result.get(field.name)
+        if value is None:
+            if field.name in EXTRACTION_REQUIRED:
+                raise ValueError(f"{field.name} is missing")
+        else:
+            kinds = KINDS[type(field.dataType)]
+            if not isinstance(value, kinds) or (isinstance(value, bool) and bool not in kinds):
+                raise ValueError(f"{field.name} is {value!r}")
+            value = float(value) if float in kinds else value
+        values.append(value)
+    return tuple(values)
+
+
+def extract_with(
+    batches: DataFrame, extractor: Extractor, parallelism: int | None = None
+) -> DataFrame:
     """Run a function over batches: (chat_id, batch_no, pos, extraction fields).
 
     ``extractor`` gets the batch as a list of ``{"message_id", "context"}`` dicts and returns
-    dicts with the extraction fields. A batch whose call fails, or that lacks a required field,
-    is logged and left out; the others go on.
+    dicts with the extraction fields. A batch whose call fails, that lacks a required field or has
+    one of another type is logged and left out; the others go on. Calls wait on the model, not on
+    bytes, so batches are dealt over ``parallelism`` tasks (the number of shuffle partitions by
+    default), which adaptive execution does not merge.
     """
     chat_type = batches.schema["chat_id"].dataType
     schema = T.StructType(
@@ -87,19 +117,17 @@ def extract_with(batches: DataFrame, extractor: Extractor) -> DataFrame:
             for chat_id, batch_no, payload in frame.itertuples(index=False):
                 try:
                     results = list(extractor(json.loads(payload)))
-                    for result in results:
-                        if any(result.get(c) is None for c in EXTRACTION_REQUIRED):
-                            raise ValueError("required field missing")
-                    rows.extend(
-                        (chat_id, batch_no, pos, *(r.get(c) for c in EXTRACTION.fieldNames()))
-                        for pos, r in enumerate(results)
-                    )
+                    rows += [
+                        (chat_id, batch_no, pos, *checked(r)) for pos, r in enumerate(results)
+                    ]
                 except Exception as error:  # one bad batch must not stop the rest
                     log.warning("batch %s of chat %s failed: %s", batch_no, chat_id, error)
             yield pd.DataFrame(rows, columns=names)
 
     payload = F.to_json("items").alias("items")
-    return batches.select("chat_id", "batch_no", payload).mapInPandas(run, schema)
+    tasks = parallelism or int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = batches.select("chat_id", "batch_no", payload)
+    return dealt.repartition(tasks, "chat_id", "batch_no").mapInPandas(run, schema)
 
 
 def parse_extractions(answers: DataFrame) -> DataFrame:

@@ -220,3 +220,25 @@ def test_unit_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     got = [[round(x, 6) for x in r[0]] for r in df.select(vec.unit(F.col("v"))).collect()]
     assert got == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_ill_typed_answer_loses_only_its_batch(spark, chat):
+    messages = chat(*[("a", f"please submit task {i}") for i in range(1, 11)])
+    candidates = pl.filter_candidates(messages)
+
+    def extractor(items):
+        odd = any(item["message_id"] == 1 for item in items)
+        return [
+            {
+                "message_id": item["message_id"],
+                "is_important": True,
+                "type": "task",
+                "priority": "low",
+                "confidence": "high" if odd else 1,
+                "evidence": None,
+            }
+            for item in items
+        ]
+
+    found = pl.analyze_candidates(messages, candidates, extractor=extractor, batch_size=5)
+    assert sorted(r.message_id for r in found.collect()) == [6, 7, 8, 9, 10]
