@@ -3,9 +3,14 @@
 import pytest
 
 import __spark_entry__ as entry
+from catalog import action_queries
 from catalog.check import compare, connect, types
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = dict(action_queries.QUERIES), dict(action_queries.ORACLES)
+
+
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
