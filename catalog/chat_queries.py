@@ -195,11 +195,24 @@ def filter_user(spark, sf):
     )
 
 
+_URL_SQL = r"(?i)(https?://|www\.)[^\x09-\x0d\x1c-\x1f\x{85}\p{Z}]+"
+_MAIL_SQL = r"(?i)[a-z0-9._%+-]{1,64}@[a-z0-9.-]+"
+_HOST_SQL = rf"(?i)([a-z0-9][a-z0-9-]{{0,62}}\.)+({tx.BARE_DOMAINS.replace(' ', '|')})\b(/[^\x09-\x0d\x1c-\x1f\x{{85}}\p{{Z}}]*)?"
+
+
+def s_links(text: str) -> str:
+    """Full URLs, and hosts in what is left without URLs and mail addresses."""
+    bare = text
+    for pattern in (_URL_SQL, _MAIL_SQL):
+        bare = f"regexp_replace({bare}, {quote(pattern)}, ' ', 'g')"
+    return f"len(regexp_extract_all({text}, {quote(_URL_SQL)})) + len(regexp_extract_all({bare}, {quote(_HOST_SQL)}))"
+
+
 def _measures() -> str:
     return f"""count(*) AS messages,
   sum({s_word_count("message")})::BIGINT AS words,
   count(*) FILTER (WHERE {s_strip("message")} = '{MEDIA_MESSAGE}') AS media,
-  sum(len(regexp_extract_all(message, {quote(tx.LINK)})))::BIGINT AS links"""
+  sum({s_links('message')})::BIGINT AS links"""
 
 
 @register("fetch_stats", f"WITH {EV} SELECT chat_id, {_measures()} FROM evc GROUP BY chat_id")
@@ -227,7 +240,7 @@ def stats_rollup(spark, sf):
 
 @register(
     "link_counts",
-    f"SELECT page_id, len(regexp_extract_all(html, {quote(tx.LINK)}))::INT AS links FROM pages",
+    f"SELECT page_id, ({s_links('html')})::INT AS links FROM pages",
 )
 def link_counts(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", tx.link_count(F.col("html")).alias("links"))

@@ -38,8 +38,16 @@ A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 23CF 23E9-23F3 23F8
 1F6D5-1F6D9 1F6DC-1F6E5 1F6E9 1F6EB-1F6EC 1F6F0 1F6F3-1F6FC 1F7E0-1F7EB 1F7F0 1F90C-1F93A
 1F93C-1F945 1F947-1F9FF 1FA70-1FA7C 1FA80-1FAC6 1FAC8 1FACC-1FADD 1FADF-1FAEB 1FAEF-1FAFA
 """
-# Top-level domains accepted for links written without a scheme.
-BARE_DOMAINS = "com org net edu gov io in co uk us de fr info biz app dev ai me ly be gl tv"
+# Top-level domains accepted for links written without a scheme: the older generic ones, common
+# newer ones and countries, as named in the public list of top-level domains.
+BARE_DOMAINS = (
+    "com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat asia "
+    "app dev xyz shop online site store tech club top blog news live cloud page link world today "
+    "email agency digital media social space website design studio work works zone wiki press "
+    "ae am ar at au be bg br by ca cc ch cl cn co cz de dk ee eg es eu fi fm fr gg gl gr hk hr hu "
+    "id ie il in io ir is it jp ke kr kz lk lt lu lv ly me mx my ng nl no nz np pe ph pk pl pt qa "
+    "ro rs ru sa se sg si sk th to tr tv tw ua uk us uy ve vn za ai"
+)
 # ----------------------------------------------------------------------------------------
 
 
@@ -51,12 +59,13 @@ def _hex_class(ranges: str) -> str:
 
 
 EMOJI = f"[{_hex_class(EMOJI_RANGES)}]"
-# A link is a full URL or a bare host with a known ending; one alternation, no look-around,
-# so Java and RE2 read it alike.
-LINK = (
-    rf"(?:https?://|www\.)[^{WS}]+"
-    rf"|(?:[A-Za-z0-9][A-Za-z0-9-]*\.)+(?:{'|'.join(BARE_DOMAINS.split())})\b(?:/[^{WS}]*)?"
-)
+# A link is a full URL or a bare host with a known ending, in any case. Mail addresses are matched
+# as well, so that their hosts are not, and left out afterwards. No look-around, and bounded
+# repeats, so that long words cost no more than others.
+MAIL = r"[a-z0-9._%+-]{1,64}@[a-z0-9.-]+"
+BARE_HOST = rf"(?:[a-z0-9][a-z0-9-]{{0,62}}\.)+(?:{'|'.join(BARE_DOMAINS.split())})\b(?:/[^{WS}]*)?"
+LINK = rf"(?i)(?:https?://|www\.)[^{WS}]+|{MAIL}|{BARE_HOST}"
+IS_MAIL = r"^[^/@]+@"
 
 
 def strip(col: Column) -> Column:
@@ -107,7 +116,8 @@ def remove_stop_words(col: Column, stop_words: list[str]) -> Column:
 
 
 def links(col: Column) -> Column:
-    return F.regexp_extract_all(col, F.lit(LINK), F.lit(0))
+    found = F.regexp_extract_all(col, F.lit(LINK), F.lit(0))
+    return F.filter(found, lambda x: ~x.rlike(IS_MAIL) | x.rlike(r"(?i)^www\."))
 
 
 def link_count(col: Column) -> Column:

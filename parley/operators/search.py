@@ -15,6 +15,7 @@ from ..functions import keywords as kw
 from ..functions import text as tx
 from ..functions import vectors as vec
 from .context import carry_neighbours, message_struct
+from .validate import keep_first
 
 AI_FIELDS = ["type", "task", "deadline", "priority", "confidence", "evidence", "is_important"]
 
@@ -63,14 +64,21 @@ def top_k(rows: DataFrame, query_vector: Column, k: int, tie: str, vector: str =
     return _scored(rows, query_vector, vector).orderBy(F.desc("semantic_score"), tie).limit(k)
 
 
-def with_results(hits: DataFrame, results: DataFrame | None) -> DataFrame:
-    """Left-join the extracted result of each hit; `results` has one row per message."""
+def with_results(hits: DataFrame, results: DataFrame | None, seq: str | None = None) -> DataFrame:
+    """Left-join the extracted result of each hit.
+
+    Of several results for one message the first by the column ``seq`` counts; without it, the
+    first in the order of their fields.
+    """
     if results is None:
         kinds = {"confidence": "double", "is_important": "boolean"}
         return hits.withColumns({c: F.lit(None).cast(kinds.get(c, "string")) for c in AI_FIELDS})
-    return hits.join(
-        results.select("chat_id", "message_id", *AI_FIELDS), ["chat_id", "message_id"], "left"
+    found = F.struct(*[F.col(seq)] if seq else [], *AI_FIELDS).alias("_found")
+    joined = hits.join(
+        results.select("chat_id", "message_id", found), ["chat_id", "message_id"], "left"
     )
+    # joined before it is reduced, so only results of hits are compared
+    return keep_first(joined, "_found").select(*hits.columns, *[f"_found.{c}" for c in AI_FIELDS])
 
 
 def score_hits(hits: DataFrame, question: str) -> DataFrame:
@@ -94,6 +102,7 @@ def rank_hits(
     query_vector: Column,
     results: DataFrame | None = None,
     top_k: int = 5,
+    seq: str | None = None,
 ) -> DataFrame:
     """The best `top_k` messages per chat with all scores and `rank`; no context yet.
 
@@ -106,7 +115,7 @@ def rank_hits(
     )
     best = Window.partitionBy("chat_id").orderBy(F.desc("score"), "semantic_rank")
     return (
-        score_hits(with_results(near, results), question)
+        score_hits(with_results(near, results, seq), question)
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= top_k)
     )

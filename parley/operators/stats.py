@@ -1,7 +1,8 @@
 """Activity statistics per chat.
 
 Each function takes the messages table and an optional user; ``user=None`` means everybody,
-system notifications included. All are one partial + final aggregation keyed by chat.
+system notifications included. All are one partial + final aggregation keyed by chat; rows come
+unsorted, and order is left to the caller.
 """
 
 from __future__ import annotations
@@ -78,23 +79,21 @@ def user_percent(messages: DataFrame) -> DataFrame:
 
 
 def monthly_timeline(messages: DataFrame, user: str | None = None) -> DataFrame:
-    """Messages per month in time order, with a `Month-YYYY` label."""
+    """Messages per month, with a `Month-YYYY` label."""
     return (
         filter_user(messages, user)
         .groupBy("chat_id", "year", "month_num", "month")
         .agg(F.count(F.lit(1)).alias("messages"))
         .withColumn("time", F.concat_ws("-", "month", "year"))
-        .orderBy("chat_id", "year", "month_num")
     )
 
 
 def daily_timeline(messages: DataFrame, user: str | None = None) -> DataFrame:
-    """Messages per day that has any, in time order."""
+    """Messages per day that has any."""
     return (
         filter_user(messages, user)
         .groupBy("chat_id", "only_date")
         .agg(F.count(F.lit(1)).alias("messages"))
-        .orderBy("chat_id", "only_date")
     )
 
 
@@ -103,17 +102,16 @@ def _activity(messages: DataFrame, user: str | None, by: str) -> DataFrame:
         filter_user(messages, user)
         .groupBy("chat_id", by)
         .agg(F.count(F.lit(1)).alias("messages"))
-        .orderBy("chat_id", F.desc("messages"), by)
     )
 
 
 def week_activity(messages: DataFrame, user: str | None = None) -> DataFrame:
-    """Messages per weekday, busiest first."""
+    """Messages per weekday."""
     return _activity(messages, user, "day_name")
 
 
 def month_activity(messages: DataFrame, user: str | None = None) -> DataFrame:
-    """Messages per month name over all years, busiest first."""
+    """Messages per month name over all years."""
     return _activity(messages, user, "month")
 
 
@@ -138,14 +136,10 @@ def activity_heatmap_wide(messages: DataFrame, user: str | None = None) -> DataF
 
 
 def participants(messages: DataFrame) -> DataFrame:
-    """Users of each chat in code-point order after an `Overall` entry."""
+    """Users of each chat and an `Overall` entry; sorted by `place` and `user`, that entry is first."""
     users = messages.select("chat_id", "user").distinct()
     named = users.where(F.col("user") != GROUP_NOTIFICATION)
     everyone = users.select("chat_id").distinct()
-    return (
-        named.select("chat_id", F.lit(1).alias("place"), "user")
-        .unionByName(
-            everyone.select("chat_id", F.lit(0).alias("place"), F.lit("Overall").alias("user"))
-        )
-        .orderBy("chat_id", "place", "user")
+    return named.select("chat_id", F.lit(1).alias("place"), "user").unionByName(
+        everyone.select("chat_id", F.lit(0).alias("place"), F.lit("Overall").alias("user"))
     )

@@ -8,8 +8,11 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..schema import GROUP_NOTIFICATION
+from ..sources.stopwords import default_stop_words
 from .stats import filter_user
 
+#: Names the built-in stop-word list; None means no list.
+BUILT_IN = "built-in"
 TOP_WORDS = 20
 CLOUD_WORDS = 200
 
@@ -21,8 +24,12 @@ def spoken(messages: DataFrame) -> DataFrame:
     )
 
 
-def without_stop_words(words: DataFrame, stop_words: DataFrame | None) -> DataFrame:
+def without_stop_words(words: DataFrame, stop_words: DataFrame | str | None) -> DataFrame:
     """Anti-join on the word. Catalyst picks the join by the real size of the list."""
+    if isinstance(stop_words, str):
+        if stop_words != BUILT_IN:
+            raise ValueError(f"no stop-word list is called {stop_words!r}")
+        stop_words = default_stop_words(words.sparkSession)
     return words if stop_words is None else words.join(stop_words, "word", "left_anti")
 
 
@@ -49,7 +56,7 @@ def _first_use() -> Column:
 
 
 def word_counts(
-    messages: DataFrame, user: str | None = None, stop_words: DataFrame | None = None
+    messages: DataFrame, user: str | None = None, stop_words: DataFrame | str | None = BUILT_IN
 ) -> DataFrame:
     """(chat_id, word, n): counted first, so the anti-join sees distinct words only."""
     counted = (
@@ -61,7 +68,7 @@ def word_counts(
 def top_words(
     messages: DataFrame,
     user: str | None = None,
-    stop_words: DataFrame | None = None,
+    stop_words: DataFrame | str | None = BUILT_IN,
     top: int = TOP_WORDS,
 ) -> DataFrame:
     """The most frequent words of each chat; equal counts in order of first use."""
@@ -82,7 +89,7 @@ def top_words(
 def word_weights(
     messages: DataFrame,
     user: str | None = None,
-    stop_words: DataFrame | None = None,
+    stop_words: DataFrame | str | None = BUILT_IN,
     top: int = CLOUD_WORDS,
 ) -> DataFrame:
     """Words of a word cloud with their weight relative to the most frequent one."""
@@ -97,11 +104,22 @@ def word_weights(
     )
 
 
-def clean_corpus(messages: DataFrame, stop_words: list[str], user: str | None = None) -> DataFrame:
-    """Each typed message as its cleaned words in one string."""
-    return spoken(filter_user(messages, user)).withColumn(
-        "clean_text", tx.remove_stop_words(F.col("message"), stop_words)
-    )
+def clean_corpus(
+    messages: DataFrame, stop_words: list[str] | DataFrame, user: str | None = None
+) -> DataFrame:
+    """Each typed message as its cleaned words in one string.
+
+    A short list is filtered inside the row; a table of any size is anti-joined by word, and the
+    words of each message are put together again.
+    """
+    typed = spoken(filter_user(messages, user))
+    if not isinstance(stop_words, DataFrame):
+        return typed.withColumn("clean_text", tx.remove_stop_words(F.col("message"), stop_words))
+    key = ["chat_id", "message_id"]
+    kept = without_stop_words(_tokens(messages, user, *key), stop_words).groupBy(*key)
+    placed = F.array_sort(F.collect_list(F.struct("pos", "word")))
+    texts = kept.agg(F.array_join(F.transform(placed, lambda w: w.word), " ").alias("clean_text"))
+    return typed.join(texts, key, "left").withColumn("clean_text", F.coalesce("clean_text", F.lit("")))
 
 
 def emoji_counts(messages: DataFrame, user: str | None = None) -> DataFrame:

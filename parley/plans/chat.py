@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
 from ..operators import candidates as cand
 from ..operators import extract, search, validate
-from ..operators.context import attach_context_text
 
 
 def analyze_chat(
@@ -19,13 +19,13 @@ def analyze_chat(
     """Candidates, extraction and validation.
 
     Chats without candidates give no rows; the columns stay. With the built-in rules this is one
-    lazy plan with one pass over the messages: each gets its surrounding text from a window over
-    blocks of the chat, and all further steps look at single rows. A caller's ``extractor`` goes
-    through stored batches.
+    lazy plan with one pass over the messages and no shuffle: the evidence of a rule is the message
+    itself, so it is checked against the message and its neighbours are not needed. A caller's
+    ``extractor`` goes through stored batches.
     """
     if extractor is None:
-        around = attach_context_text(messages, validate.GROUNDING_WINDOW)
-        found = extract.extract_rules(cand.filter_candidates(around), keep=("context_text",))
+        quoted = cand.filter_candidates(messages).withColumn("context_text", F.col("message"))
+        found = extract.extract_rules(quoted, keep=("context_text",))
         return validate.ground(validate.clean_fields(found)).drop("context_text")
     results = extract.analyze_candidates(
         messages, cand.filter_candidates(messages), window, batch_size, extractor=extractor

@@ -10,12 +10,18 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one where none is named.
+    """Folder named by ``spark.checkpoint.dir``.
 
-    The fallback is for single-machine runs such as tests; a cluster must name a shared folder.
+    Where none is named, a session of one machine gets a temporary folder; on a cluster an error
+    is raised, because executors would not see each other's files.
     """
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
-    return folder or tempfile.mkdtemp(prefix="run-")
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="run-")
+    return folder
 
 
 def materialize(rows: DataFrame) -> DataFrame:

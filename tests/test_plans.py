@@ -2,10 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from catalog import action_queries
 from catalog import fixtures as fx
 
-QUERIES = entry.queries()
+# plans of the language-model queries are tested beside them
+QUERIES = dict(action_queries.QUERIES)
 
 
 def plan(df):
@@ -54,6 +55,15 @@ def test_whole_exports_parse_without_a_shuffle(spark, tmp_path):
     assert "Exchange" not in plan(exports.parse_texts(texts, 2026))
 
 
+def test_rules_analyse_stored_messages_without_a_shuffle(spark, sf, tmp_path):
+    import parley as pl
+    from catalog import fixtures as fx
+
+    fx.messages(spark, sf).write.parquet(str(tmp_path / "messages"))
+    stored = spark.read.parquet(str(tmp_path / "messages"))
+    assert "Exchange" not in plan(pl.analyze_chat(stored))
+
+
 def test_words_are_hash_aggregated(spark, sf):
     text = plan(QUERIES["top_words"](spark, sf))
     assert "SortAggregate" not in text and "ObjectHashAggregate" not in text

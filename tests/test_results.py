@@ -242,3 +242,29 @@ def test_ill_typed_answer_loses_only_its_batch(spark, chat):
 
     found = pl.analyze_candidates(messages, candidates, extractor=extractor, batch_size=5)
     assert sorted(r.message_id for r in found.collect()) == [6, 7, 8, 9, 10]
+
+
+def test_first_result_of_a_hit_counts(spark):
+    from parley.operators import search
+
+    hits = spark.createDataFrame([("c", 1, 0.9), ("c", 2, 0.8)], "chat_id string, message_id long, semantic_score double")
+    fields = "chat_id string, message_id long, seq int, type string, task string, deadline string, priority string, confidence double, evidence string, is_important boolean"
+    found = spark.createDataFrame(
+        [("c", 1, 2, "task", "late", None, None, 0.5, None, False), ("c", 1, 1, "task", "early", None, None, 0.5, None, False)], fields
+    )
+    got = search.with_results(hits, found, seq="seq").orderBy("message_id").collect()
+    assert [(r.message_id, r.task) for r in got] == [(1, "early"), (2, None)]
+    assert search.with_results(hits, found).count() == 2
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from parley import storage
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(ValueError):
+        storage.shared_dir(session)

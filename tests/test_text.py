@@ -78,6 +78,9 @@ def test_emoji_by_code_point(spark):
 def test_links(spark):
     texts = ["see https://a.io/x?y=1 and www.b.c", "mail.example.com/x ok", "e.g. this. No link", "1.5"]
     assert evaluate(column(spark, texts), tx.link_count(F.col("v"))) == [2, 1, 0, 0]
+    texts = ["bob@example.com", "HTTPS://EXAMPLE.COM/x", "Example.COM WWW.a.b", "google.xyz, a.shop",
+             "https://me@host.com/a@b.com", "a.com/x@b mail: x.y@z.org", "a" * 100_000, None]
+    assert evaluate(column(spark, texts), tx.link_count(F.col("v"))) == [0, 1, 2, 2, 1, 1, 0, None]
 
 
 def test_clean_value_and_numbers(spark):
@@ -129,3 +132,14 @@ def test_word_ties_go_to_first_use(spark, chat):
         "zeta", "alpha", "early",
     ]
     assert spoken(messages).count() == 3
+
+
+def test_stop_words_by_default_and_as_a_table(spark, chat):
+    messages = chat(("A", "The notes, and the plan!"), ("B", "the and"), ("B", "plan b"))
+    assert {r.word for r in pl.top_words(messages).collect()} == {"notes", "plan", "b"}
+    assert {r.word for r in pl.top_words(messages, stop_words=None).collect()} >= {"the", "and"}
+    with pytest.raises(ValueError):
+        pl.top_words(messages, stop_words="other")
+    for words in (["the", "and"], spark.createDataFrame([("the",), ("and",)], "word string")):
+        got = pl.clean_corpus(messages, words).orderBy("message_id").collect()
+        assert [r.clean_text for r in got] == ["notes plan", "", "plan b"]
