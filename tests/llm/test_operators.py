@@ -273,3 +273,24 @@ def test_pipeline(spark, sf):
         out = stage(spark, documents, sf)
         assert out.columns == documents.columns and 0 < out.count() <= documents.count()
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+#: Sum counts by written file in one task; a row there is a file, not a document.
+SUMS_OVER_FILES = {"op2_packing", "op5_token_files", "pipeline"}
+
+
+@pytest.mark.parametrize("name", [*queries.QUERIES, "pipeline"])
+def test_plans_have_no_cross_join_and_no_single_task(spark, sf, name):
+    query = queries.QUERIES.get(name, corpus_pipeline.run)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert bad not in text
+    single = [line for line in text.split("Subquery")[0].splitlines() if "Exchange SinglePartition" in line]
+    assert len(single) == (name in SUMS_OVER_FILES)
+    if single:
+        after = text[text.index(single[0]) :].splitlines()[1]
+        assert "HashAggregate" in after and ("count(1)" in after or "sum(" in after)
