@@ -33,11 +33,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Setting by which Spark removes the shuffle files of a query that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(rows: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: computed once, with no lineage."""
-    path = shared_folder(rows.sparkSession, name)
-    rows.write.options(**options).parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    """Write a table to the shared folder and read it back: computed once, with no lineage.
+
+    Shuffle files of the write go when it has ended, since nothing reads them again.
+    """
+    spark = rows.sparkSession
+    path, before = shared_folder(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        rows.write.options(**options).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:
