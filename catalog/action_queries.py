@@ -102,6 +102,35 @@ def extract_udf(spark, sf):
     return pl.analyze_candidates(messages, pl.filter_candidates(messages), extractor=extractor)
 
 
+@register(
+    "extract_failures",
+    f"""WITH {MSGS}, {CANDS}, {NUMBERED},
+b AS (SELECT chat_id, batch_no, min(message_id) AS first_id FROM numbered GROUP BY 1, 2)
+SELECT chat_id, batch_no::BIGINT AS batch_no, CASE first_id % 4 WHEN 0 THEN 'model unavailable'
+  WHEN 1 THEN 'confidence is ' || chr(39) || 'high' || chr(39) ELSE 'type is missing' END AS error
+FROM b WHERE first_id % 4 <> 3""",
+)
+def extract_failures(spark, sf):
+    """Batches by their first id: one kind raises, one is ill-typed, one lacks a field, one is right."""
+
+    def extractor(batch):
+        kind = batch[0]["message_id"] % 4
+        if kind == 0:
+            raise RuntimeError("model unavailable")
+        for item in batch:
+            yield {
+                "message_id": item["message_id"],
+                "is_important": True,
+                "type": None if kind == 2 else "task",
+                "priority": "low",
+                "confidence": "high" if kind == 1 else 0.5,
+            }
+
+    messages = fx.messages(spark, sf)
+    batches = pl.create_batches(messages, pl.filter_candidates(messages))
+    return ex.extract_failures(ex.attempt_batches(batches, extractor))
+
+
 @register(
     "parse_extractions",
     f"""WITH {MSGS}, {CANDS}, {NUMBERED}
@@ -339,6 +368,24 @@ def actionable_table(spark, sf):
     return pl.actionable(pl.deduplicate_actions(validated(spark, sf)))
 
 
+@register(
+    "actions_by_id",
+    f"""WITH {ALL_ACTIONS} SELECT {_SHOWN}, row_number() OVER (PARTITION BY chat_id ORDER BY message_id) AS place
+FROM actions WHERE type IN ('task', 'request', 'deadline', 'decision')""",
+)
+def actions_by_id(spark, sf):
+    return act.in_message_order(pl.actionable(pl.deduplicate_actions(validated(spark, sf))))
+
+
+@register(
+    "results_by_date",
+    f"""WITH {ALL_AI} SELECT *, row_number() OVER (
+  PARTITION BY chat_id ORDER BY date NULLS LAST, message_id) AS place FROM ai""",
+)
+def results_by_date(spark, sf):
+    return va.number_by_date(validated(spark, sf))
+
+
 @register(
     "dashboard_filter",
     f"WITH {ALL_ACTIONS} SELECT {_SHOWN} FROM actions WHERE type = 'task' AND priority = 'high'",
@@ -430,13 +477,13 @@ def vector_index(spark, sf):
 _SEARCHABLE = f"""{fx.s_word_count("message")} >= 3 AND lower({s_strip("message")})
     NOT IN ({", ".join(quote(s) for s in kw.UNSEARCHABLE)})"""
 _ASKED = quote(fx.QUESTION)
-HITS = f"""near AS (
+
+
+def s_hits(scored: str) -> str:
+    """Nearest, scored and ranked hits of messages with a semantic score s."""
+    return f"""near AS (
   SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY s DESC, message_id) AS semantic_rank
-  FROM (SELECT m.chat_id, m.message_id, m.date, m."user", m.message,
-      {s_dot(s_unit("e.embedding"), "q.v")} AS s
-    FROM msgs m JOIN embeddings e ON m.event_id % (SELECT count(*) FROM embeddings) = e.vec_id,
-      (SELECT {s_unit("embedding")} AS v FROM embeddings WHERE vec_id = 0) q
-    WHERE {_SEARCHABLE})
+  FROM ({scored})
   QUALIFY semantic_rank <= 25),
 hits AS (
   SELECT *, 0.60::DOUBLE * s + 0.25::DOUBLE * keyword_score + 0.15::DOUBLE * ai_score AS score
@@ -447,6 +494,13 @@ hits AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY score DESC, semantic_rank)::INT AS rank
   FROM hits QUALIFY rank <= 5)"""
+
+
+HITS = s_hits(f"""SELECT m.chat_id, m.message_id, m.date, m."user", m.message,
+      {s_dot(s_unit("e.embedding"), "q.v")} AS s
+    FROM msgs m JOIN embeddings e ON m.event_id % (SELECT count(*) FROM embeddings) = e.vec_id,
+      (SELECT {s_unit("embedding")} AS v FROM embeddings WHERE vec_id = 0) q
+    WHERE {_SEARCHABLE}""")
 ALL_HITS = f"{ALL_AI}, {HITS}"
 _SCORES = ["semantic_score", "keyword_score", "ai_score", "score"]
 
@@ -469,22 +523,14 @@ def search_with_ai(spark, sf):
     )
 
 
-@register(
-    "hybrid_search",
-    f"""WITH {ALL_HITS} SELECT chat_id, rank, message_id, "user", message, type, task, deadline,
+_SHOWN_HITS = """SELECT chat_id, rank, message_id, "user", message, type, task, deadline,
   priority, confidence, evidence, round(s, 6) AS semantic_score,
   round(keyword_score, 6) AS keyword_score, round(ai_score, 6) AS ai_score,
   round(score, 6) AS score, context_text AS context
-FROM ranked JOIN (SELECT chat_id, message_id, context_text FROM ctx) USING (chat_id, message_id)""",
-)
-def hybrid_search(spark, sf):
-    hits = pl.search(
-        vector_index(spark, sf),
-        fx.messages(spark, sf),
-        fx.QUESTION,
-        query_vector(spark, sf),
-        validated(spark, sf),
-    )
+FROM ranked JOIN (SELECT chat_id, message_id, context_text FROM ctx) USING (chat_id, message_id)"""
+
+
+def shown_hits(hits):
     lines = F.transform("context", lambda m: F.concat_ws(": ", m.user, m.message))
     fields = ["type", "task", "deadline", "priority", "confidence", "evidence"]
     return hits.select(
@@ -495,6 +541,18 @@ def hybrid_search(spark, sf):
     )
 
 
+@register("hybrid_search", f"WITH {ALL_HITS} {_SHOWN_HITS}")
+def hybrid_search(spark, sf):
+    hits = pl.search(
+        vector_index(spark, sf),
+        fx.messages(spark, sf),
+        fx.QUESTION,
+        query_vector(spark, sf),
+        validated(spark, sf),
+    )
+    return shown_hits(hits)
+
+
 _SAY = {name: text.replace("%s", "{}") for name, text in se.ANSWERS.items()}
 
 
@@ -535,22 +593,71 @@ def ai_relevance(spark, sf):
     )
 
 
-@register("embed_messages")
+LETTERS = "aeioutsn"
+
+
+def letter_counts(texts: list[str]) -> list[list[int]]:
+    """A model that SQL can restate: how often each of a few letters occurs."""
+    return [[t.lower().count(c) for c in LETTERS] for t in texts]
+
+
+def s_letters(text: str) -> str:
+    counts = (f"len({text}) - len(replace(lower({text}), '{c}', ''))" for c in LETTERS)
+    return f"[{', '.join(counts)}]::DOUBLE[]"
+
+
+def s_numbers(vector: str) -> str:
+    each = (f"round(({vector})[{i}]::DOUBLE, 6) AS v{i}" for i in range(1, len(LETTERS) + 1))
+    return ", ".join(each)
+
+
+def numbers():
+    each = (F.get("vector", F.lit(i)).cast("double") for i in range(len(LETTERS)))
+    return [F.round(x, 6).alias(f"v{i}") for i, x in enumerate(each, 1)]
+
+
+@register(
+    "embed_messages",
+    f"""SELECT conv_id AS chat_id, turn + 1 AS message_id, {s_numbers(s_letters("text"))}
+FROM conversations""",
+)
 def embed_messages(spark, sf):
+    rows = pl.FunctionEncoder(letter_counts).transform(fx.conversation_messages(spark, sf))
+    return rows.select("chat_id", "message_id", *numbers())
+
+
+@register("embed_hashing")
+def embed_hashing(spark, sf):
+    """The offline encoder."""
     rows = fx.conversation_messages(spark, sf)
     return pl.HashingEncoder.fit(rows).transform(rows).select("chat_id", "message_id", "vector")
 
 
-@register("search_index")
+_STRIPPED = s_letters(s_strip("message"))
+
+
+@register(
+    "search_index",
+    f"""WITH {MSGS} SELECT chat_id, message_id, date, "user", message, {s_numbers(s_unit(_STRIPPED))}
+FROM msgs WHERE {_SEARCHABLE}""",
+)
 def search_index(spark, sf):
-    messages = fx.messages(spark, sf)
-    return pl.build_index(messages, pl.HashingEncoder.fit(fx.event_messages(spark, sf)))
+    index = pl.build_index(fx.messages(spark, sf), pl.FunctionEncoder(letter_counts))
+    return index.select("chat_id", "message_id", "date", "user", "message", *numbers())
 
 
-@register("ask_question")
+_BY_LETTERS = f"""SELECT chat_id, message_id, date, "user", message,
+      {s_dot(s_unit(_STRIPPED), s_unit(s_letters(_ASKED)))} AS s
+    FROM msgs WHERE {_SEARCHABLE}"""
+
+
+@register(
+    "ask_question",
+    f"""WITH {MSGS}, {CANDS}, {_contexts('msgs')}, {RULES}, ai AS (SELECT * FROM rules),
+{s_hits(_BY_LETTERS)} {_SHOWN_HITS}""",
+)
 def ask_question(spark, sf):
-    """From text to hits with the offline encoder."""
-    messages = fx.messages(spark, sf)
-    encoder = pl.HashingEncoder.fit(fx.event_messages(spark, sf))
+    """From text to hits: the question is encoded like the messages."""
+    messages, encoder = fx.messages(spark, sf), pl.FunctionEncoder(letter_counts)
     index = pl.build_index(messages, encoder)
-    return pl.ask(messages, index, encoder, fx.QUESTION, pl.analyze_chat(messages))
+    return shown_hits(pl.ask(messages, index, encoder, fx.QUESTION, pl.analyze_chat(messages)))

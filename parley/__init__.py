@@ -34,7 +34,7 @@ from .operators.stats import (
     user_percent,
     week_activity,
 )
-from .operators.validate import in_date_order, validate_results
+from .operators.validate import in_date_order, number_by_date, validate_results
 from .operators.words import clean_corpus, emoji_counts, emoji_share, top_words, word_weights
 from .plans.chat import analyze_chat, answer, ask
 from .sources.exports import export_rejects, parse_pieces, parse_texts, read_exports

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import cleaning as cl
+from .numbering import number_by_id
 
 # --- fixed values -------------------------------------------------------------------------
 TYPE_LABELS = {
@@ -64,6 +65,11 @@ def actionable(actions: DataFrame) -> DataFrame:
     return actions.where(F.col("type").isin(cl.ACTIONABLE)).select("chat_id", *ACTION_COLUMNS)
 
 
+def in_message_order(actions: DataFrame) -> DataFrame:
+    """Actions with their `place` in the chat, counted from 1 in order of the message."""
+    return number_by_id(actions, "place")
+
+
 def filter_actions(actions: DataFrame, kind: str = "All", priority: str = "All") -> DataFrame:
     """Filter by type label (`Tasks`, ...) and priority; `All` keeps everything."""
     if kind != "All":

@@ -88,27 +88,30 @@ def checked(result: dict) -> tuple:
     return tuple(values)
 
 
-def extract_with(
+def attempt_batches(
     batches: DataFrame, extractor: Extractor, parallelism: int | None = None
 ) -> DataFrame:
-    """Run a function over batches: (chat_id, batch_no, pos, extraction fields).
+    """Run a function over batches: (chat_id, batch_no, error, pos, extraction fields).
 
     ``extractor`` gets the batch as a list of ``{"message_id", "context"}`` dicts and returns
     dicts with the extraction fields. A batch whose call fails, that lacks a required field or has
-    one of another type is logged and left out; the others go on. Calls wait on the model, not on
-    bytes, so batches are dealt over ``parallelism`` tasks (the number of shuffle partitions by
-    default), which adaptive execution does not merge.
+    one of another type gives one row with the error and nothing else; the others go on. Calls wait
+    on the model, not on bytes, so batches are dealt over ``parallelism`` tasks (the number of
+    shuffle partitions by default), which adaptive execution does not merge. Store the result to
+    use both ``answers`` and ``extract_failures`` of it, or the batches are sent twice.
     """
     chat_type = batches.schema["chat_id"].dataType
     schema = T.StructType(
         [
             T.StructField("chat_id", chat_type),
             T.StructField("batch_no", T.LongType()),
+            T.StructField("error", T.StringType()),
             T.StructField("pos", T.IntegerType()),
             *EXTRACTION.fields,
         ]
     )
     names = schema.fieldNames()
+    unfilled = [None] * (len(names) - 3)
 
     def run(frames):
         log = logging.getLogger(__name__)
@@ -118,11 +121,13 @@ def extract_with(
                 try:
                     results = list(extractor(json.loads(payload)))
                     rows += [
-                        (chat_id, batch_no, pos, *checked(r)) for pos, r in enumerate(results)
+                        (chat_id, batch_no, None, pos, *checked(r))
+                        for pos, r in enumerate(results)
                     ]
                 except Exception as error:  # one bad batch must not stop the rest
                     log.warning("batch %s of chat %s failed: %s", batch_no, chat_id, error)
-            yield pd.DataFrame(rows, columns=names)
+                    rows.append((chat_id, batch_no, str(error) or type(error).__name__, *unfilled))
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     payload = F.to_json("items").alias("items")
     tasks = parallelism or int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -130,6 +135,23 @@ def extract_with(
     return dealt.repartition(tasks, "chat_id", "batch_no").mapInPandas(run, schema)
 
 
+def answers(attempts: DataFrame) -> DataFrame:
+    """The answers (chat_id, batch_no, pos, extraction fields) of the batches that succeeded."""
+    return attempts.where("error IS NULL").drop("error")
+
+
+def extract_failures(attempts: DataFrame) -> DataFrame:
+    """(chat_id, batch_no, error) of the batches that gave no answer."""
+    return attempts.where("error IS NOT NULL").select("chat_id", "batch_no", "error")
+
+
+def extract_with(
+    batches: DataFrame, extractor: Extractor, parallelism: int | None = None
+) -> DataFrame:
+    """Answers of a function over batches; see ``attempt_batches``."""
+    return answers(attempt_batches(batches, extractor, parallelism))
+
+
 def parse_extractions(answers: DataFrame) -> DataFrame:
     """Decode (chat_id, batch_no, answer JSON); malformed batches give no rows."""
     decoded = answers.withColumn("decoded", F.from_json("answer", RESULTS))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import cleaning as cl
 from .context import carry_context_text
+from .numbering import number_rows
 
 TEXT_FIELDS = ["task", "deadline", "evidence"]
 GROUNDING_WINDOW = 2
@@ -85,3 +86,10 @@ def validate_results(
 
 def in_date_order(results: DataFrame) -> DataFrame:
     return results.orderBy("chat_id", F.asc_nulls_last("date"), "message_id")
+
+
+def number_by_date(results: DataFrame) -> DataFrame:
+    """Results with their `place` in the chat, counted from 1 by date; undated ones come last."""
+    day = F.coalesce(F.to_date("date"), F.lit("9999-12-31").cast("date"))
+    order = [F.asc_nulls_last("date"), "message_id"]
+    return number_rows(results, "chat_id", order, day, "place")

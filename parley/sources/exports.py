@@ -153,31 +153,28 @@ def parse_pieces(pieces: DataFrame, pivot_year: int | None = None) -> DataFrame:
         .withColumn("text", F.array_join(F.transform("parts", lambda p: p.body), ""))
     )
 
-    # One row per split: its headers, and the text ahead of its first header, which belongs to
-    # the last message of an earlier split.
-    ahead_of_first = F.when(F.col("g") == 0, F.struct("pos", "body"))
+    # One row of counts per split. The text ahead of a split's first header belongs to the last
+    # message of an earlier split; it meets the counts by split and only where such a message exists.
     splits = slice_starts(
         numbered.groupBy("chat_id", "split").agg(
-            F.sum(headers).alias("headers"),
-            F.sum(dated).alias("dated"),
-            F.array_sort(F.collect_list(ahead_of_first)).alias("lead"),
+            F.sum(headers).alias("headers"), F.sum(dated).alias("dated")
         ),
         "chat_id",
         "split",
         "headers",
         "dated",
-        keep=["headers", "lead"],
+        keep=["headers"],
     )
     rests = (
-        splits.withColumn("lead", F.array_join(F.transform("lead", lambda p: p.body), ""))
-        .where((F.col("lead") != "") & (F.col("headers_start") > 0))
+        local.where((F.col("g") == 0) & (F.col("text") != ""))
+        .select("chat_id", "split", F.col("text").alias("lead"))
+        .join(splits.where("headers_start > 0"), ["chat_id", "split"])
         .groupBy("chat_id", F.col("headers_start").alias("last_header"))
         .agg(F.array_sort(F.collect_list(F.struct("split", "lead"))).alias("rest"))
         .withColumn("rest", F.array_join(F.transform("rest", lambda r: r.lead), ""))
     )
     placed = (
-        splits.drop("lead")
-        .withColumn("last_header", F.col("headers_start") + F.col("headers"))
+        splits.withColumn("last_header", F.col("headers_start") + F.col("headers"))
         .join(rests, ["chat_id", "last_header"], "left")
         .select("chat_id", "split", "headers", "dated_start", "rest")
     )
