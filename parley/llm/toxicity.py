@@ -4,7 +4,8 @@ Voters: LEXICONS word lists, found as the words and word stems that are the sure
 to lie in toxic training rows and dealt out by their first letters, and fixed patterns of shouting and abuse. A generative label model
 estimates by expectation-maximisation how often each voter fires on either class; voters that fire
 together beyond what the class explains share one vote's weight. Its posteriors are the labels of a
-linear classifier over words and stems hashed to 32 bits, which scores every text.
+linear classifier over words and stems hashed to 32 bits, which scores every text; its point 0.5 is calibrated
+on the labels of the training rows.
 
 Training rows are bounded: TRAIN_ROWS labelled documents of the smallest hashes whose ids are
 broadcast, so texts are not shuffled. Everything else runs in tasks over all texts.
@@ -42,7 +43,7 @@ Z = 1.96
 STEMS = (3, 4, 5)
 #: Accuracy from which the estimate of a word list's accuracy starts.
 START = 0.9
-#: Log-odds of a text without any learned term.
+#: Log-odds of a text without any learned term while weights are fitted; calibrated() sets the final ones.
 OFFSET = -2.8
 STEPS = 500
 RATE = 1.0
@@ -144,11 +145,12 @@ class Classifier:
 
     hashes: np.ndarray
     weights: np.ndarray
+    offset: float = OFFSET
 
     def score(self, texts: pa.Array) -> np.ndarray:
         owner, hashed = term_hashes(texts, self.hashes)
         each = self.weights[np.searchsorted(self.hashes, hashed)]
-        return sigmoid(np.bincount(owner, each, len(texts)) + OFFSET)
+        return sigmoid(np.bincount(owner, each, len(texts)) + self.offset)
 
 
 def sigmoid(values: np.ndarray) -> np.ndarray:
@@ -178,6 +180,24 @@ def train_classifier(
     return Classifier(hashes[weights > 0].astype("i8"), weights[weights > 0])
 
 
+def calibrated(model: Classifier, owner: np.ndarray, hashed: np.ndarray, toxic: np.ndarray) -> Classifier:
+    """The classifier with the offset by which 0.5 best parts the labels of the training rows.
+
+    Best is the largest share of toxic rows found less the share of clean ones that are not kept; of
+    equal cuts the middle of the gap below the highest counts.
+    """
+    known = np.isin(hashed, model.hashes)
+    each = model.weights[np.searchsorted(model.hashes, hashed[known])]
+    sums = np.bincount(owner[known], each, len(toxic))
+    cuts, place = np.unique(sums, return_inverse=True)
+    if len(cuts) < 2 or toxic.all() or not toxic.any():
+        return model
+    at_or_over = [np.bincount(place, toxic == x, len(cuts))[::-1].cumsum()[::-1] for x in (1, 0)]
+    gain = (at_or_over[0] / at_or_over[0][0] - at_or_over[1] / at_or_over[1][0])[1:]
+    best = len(gain) - gain[::-1].argmax()
+    return Classifier(model.hashes, model.weights, -(cuts[best - 1] + cuts[best]) / 2)
+
+
 def voted(train: DataFrame, lists: dict[str, int]) -> pd.DataFrame:
     """0/1 votes and hashed features of the bounded training rows."""
 
@@ -198,13 +218,14 @@ def voted(train: DataFrame, lists: dict[str, int]) -> pd.DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("toxic"),
                     pa.array(votes.tolist(), pa.list_(pa.int32())),
                     pa.ListArray.from_arrays(cuts, hashed.astype("u4").view("i4")),
                 ],
-                names=["doc_id", "votes", "features"],
+                names=["doc_id", "toxic", "votes", "features"],
             )
 
-    rows = train.select("doc_id", "text").mapInArrow(run, "doc_id long, votes array<int>, features array<int>")
+    rows = train.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, votes array<int>, features array<int>")
     return rows.toPandas().sort_values("doc_id", kind="stable")
 
 
@@ -219,7 +240,8 @@ def fit(train: DataFrame) -> Classifier | None:
     owner = np.repeat(np.arange(len(rows), dtype="i4"), rows.features.map(len))
     hashed = np.concatenate(rows.pop("features").to_numpy()).astype("i4").view("u4")
     listed = np.array([zlib.crc32(term.encode()) for term in lists], "u4")
-    return train_classifier(owner, hashed, posterior, listed)
+    model = train_classifier(owner, hashed, posterior, listed)
+    return calibrated(model, owner, hashed, rows.toxic.to_numpy())
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

@@ -269,6 +269,15 @@ def test_language_and_toxicity_on_the_tables(spark, sf, docs, nothing):
     assert {r["score"] for r in rows(toxicity.score_toxicity(docs, labels.limit(0)))} == {0.0}
 
 
+def test_toxic_documents_are_found_at_sf01(spark):
+    folder = "/root/testdata/sf0.1"
+    documents, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    held = toxicity.score_toxicity(documents, labels).join(labels, "doc_id").where("held_out")
+    counts = {(r.toxic, r.predicted): r["count"] for r in held.groupBy("toxic", "predicted").count().collect()}
+    assert counts[1, 1] >= 0.85 * (counts[1, 1] + counts[1, 0])
+    assert counts[0, 1] <= 0.05 * (counts[0, 0] + counts[0, 1])
+
+
 def test_toxic_words_are_learned(spark):
     texts = [f"you {w} of item{i} here" if i % 4 == 0 else f"some plain item{i} {w[::-1]} text" for i in range(400) for w in ("idiot",)]
     table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
