@@ -30,7 +30,8 @@ KINDS = ("assign", "access", "hex", "random")
 # ------------------------------------------------------------------------------------------------
 
 LEAST = 20
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{LEAST},}}+={{0,2}}"
+#: An equals sign may stand before a token; behind it, it is padding only where no token goes on.
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}+(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
 LENGTHS = (32, 48, 96)
 RATE = 0.01
 GUARD = 3.0

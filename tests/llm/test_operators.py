@@ -218,6 +218,21 @@ def test_random_tokens_are_found(spark):
     assert sum(got[i] for i in range(20)) >= 17 and not any(got[i] for i in range(20, 220))
 
 
+def test_tokens_after_an_equals_sign_are_found(spark):
+    import base64
+    import random
+
+    rng = random.Random(2)
+    names = ["KEY=", "aws_secret_access_key=", "GET /a?sig=", "<input value=", "export LONG_NAME_OF_A_SETTING="]
+    tokens = [base64.b64encode(rng.randbytes(49)).decode() for _ in range(20)]
+    lines = [f"{names[i % 5]}{t} end" for i, t in enumerate(tokens)]
+    lines += [f"plain {'internationalisationandmore' + 'words' * (i % 5)} end" for i in range(200)]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in rows(secrets.digest(frame))}
+    spans = [f"random:{len(names[i % 5])}:{len(names[i % 5]) + len(t)}" for i, t in enumerate(tokens)]
+    assert sum(got[i] == x for i, x in enumerate(spans)) >= 17 and not any(got[i] for i in range(20, 220))
+
+
 def test_repeats_against_brute_force(spark, docs, nothing):
     rng = np.random.default_rng(9)
     block = bytes(rng.integers(97, 105, 450, "u1")).decode()
