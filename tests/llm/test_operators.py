@@ -314,6 +314,20 @@ def test_html_layout():
     assert html_text.visible_text("<" * 50 + "a" + "<div>" * 3000 + "deep") .endswith("deep")
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<ul><li hidden>a<li>b</ul><p>rest", "- b\n\nrest"),
+        ("<div><p style=display:none>x</div>rest", "rest"),
+        ("<head><title>T</title><p>Hello", "Hello"),
+        ("<head><meta charset=utf-8><title>T</title></head><body>Hello<head>", "Hello"),
+        ("<div hidden><svg><path d='m'/></svg><p>a<div>b</div></div>c", "c"),
+    ],
+)
+def test_html_hidden_elements_end(page, want):
+    assert html_text.visible_text(page) == want
+
+
 def test_pipeline(spark, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet").withColumn("row", F.lit("x"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
