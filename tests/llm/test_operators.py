@@ -321,6 +321,14 @@ def test_html_layout():
         ("<div><p style=display:none>x</div>rest", "rest"),
         ("<head><title>T</title><p>Hello", "Hello"),
         ("<head><meta charset=utf-8><title>T</title></head><body>Hello<head>", "Hello"),
+        ("a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b", "a x=1 b"),
+        ("<svg><title>t</title><text x=1>label</text><path d='m'/></svg> b", "label b"),
+        ("<object data=x><p>fallback</p></object>", "fallback"),
+        ("<xmp>a  <b>&amp;</xmp>c", "a  <b>&amp;\n\nc"),
+        ("<p aria-hidden=true>seen</p>", "seen"),
+        ("<a title=it's>shown don't</a> rest", "shown don't rest"),
+        ("<a title = 'x>y' alt=\"it's>\">z</a>", "z"),
+        ("<a title='open>z</a> b", "z b"),
         ("<div hidden><svg><path d='m'/></svg><p>a<div>b</div></div>c", "c"),
     ],
 )
