@@ -9,7 +9,7 @@ reach the threshold.
 
 Only windows that can pass are made: an item and a document must have at least the threshold's share
 of the item's shingles in common, and a window must hold one of them. That loses nothing, since
-other windows have a smaller similarity.
+other windows have a smaller similarity. A document shorter than the item is one window as a whole.
 
 The benchmark's shingles and index are joined, and broadcast only as Spark finds them small. Null and
 empty texts and items match nothing; items of fewer than five words match as a whole; repeated
@@ -160,11 +160,13 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     )
     windows = None
     for width in widths:
-        at = rows.join(starts.where(F.col("width") == width), "row").where(F.size("words") >= F.col("size"))
+        at = rows.join(starts.where(F.col("width") == width), "row")
         at = at.select("row", "doc_id", "size", "width", "starts", shingles(F.col("words"), width).alias("all"))
         m = F.col("size") - width + 1
         at = at.select("row", "doc_id", "size", "width", "all", F.explode("starts").alias("start"))
-        at = at.where(F.col("start") + m <= F.size("all")).select(
+        # a document shorter than the item is one window
+        whole = (F.size("all") < m) & (F.col("start") == 0)
+        at = at.where((F.col("start") + m <= F.size("all")) | whole).select(
             "row", "doc_id", "size", "width", "start", F.slice("all", F.col("start") + 1, m).alias("hashes")
         )
         windows = at if windows is None else windows.union(at)
@@ -193,9 +195,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
         .withColumn("similarity", similarity(F.col("hashes"), F.col("item_hashes")))
         .where(F.col("similarity") >= threshold)
     )
-    best = F.max(F.struct("similarity", (-F.col("distance")).alias("close"), (-F.col("start")).alias("first")))
+    best = F.max(F.struct("similarity", (-F.col("distance")).alias("close"), (-F.col("start")).alias("first"), F.size("hashes").alias("m")))
     return (
-        checked.groupBy("row", "doc_id", "item", "item_id", "size")
+        checked.groupBy("row", "doc_id", "item", "item_id", "width")
         .agg(best.alias("best"))
         .select(
             "row",
@@ -204,7 +206,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
             F.round("best.similarity", 6).alias("similarity"),
             (-F.col("best.close")).cast("int").alias("distance"),
             (-F.col("best.first")).cast("int").alias("start_word"),
-            F.col("size").alias("n_words"),
+            (F.col("best.m") + F.col("width") - 1).alias("n_words"),
         )
     )
 
