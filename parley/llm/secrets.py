@@ -35,8 +35,10 @@ CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}+(?:={{1,2}}(?![A-
 LENGTHS = (32, 48, 96)
 RATE = 0.01
 GUARD = 3.0
-#: Sums of squared and cubed letter shares of ordinary text.
+#: Sums of squared and cubed letter shares of ordinary text, and of ordinary runs of hex digits: words of
+#: the six letters or numbers, each about even.
 TEXT_SQUARES, TEXT_CUBES = 0.065, 0.0055
+HEX_SQUARES, HEX_CUBES = 0.17, 0.033
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENCODINGS = (
     (r"^[0-9]+$", ""),
@@ -131,10 +133,13 @@ def battery(rows: DataFrame) -> DataFrame:
             * F.sqrt("n"),
         )
     )
-    text_chi = F.col("k") * (1 + (F.col("n") - 1) * TEXT_SQUARES) - F.col("n")
+    is_hex = F.col("k") == 16
+    squares_of_text = F.when(is_hex, HEX_SQUARES).otherwise(TEXT_SQUARES)
+    excess = F.when(is_hex, HEX_CUBES - HEX_SQUARES**2).otherwise(TEXT_CUBES - TEXT_SQUARES**2)
+    text_chi = F.col("k") * (1 + (F.col("n") - 1) * squares_of_text) - F.col("n")
     text_sd = F.sqrt(
         2 * (F.col("k") - 1)
-        + 4 * F.col("n") * F.col("k") ** 2 * (TEXT_CUBES - TEXT_SQUARES**2)
+        + 4 * F.col("n") * F.col("k") ** 2 * excess
     )
     length_class = sum((F.col("n") >= x).cast("int") for x in LENGTHS)
     return judged.select(

@@ -245,6 +245,18 @@ def test_tokens_after_an_equals_sign_are_found(spark):
     assert sum(got[i] == x for i, x in enumerate(spans)) >= 17 and not any(got[i] for i in range(20, 220))
 
 
+def test_upper_case_hex_keys_are_found(spark):
+    import random
+
+    rng = random.Random(5)
+    lines = [f"value {''.join(rng.choices('0123456789ABCDEF', k=40))} end" for _ in range(20)]
+    lines += [f"plain {'internationalisationandmore' + 'words' * (i % 5)} end" for i in range(200)]
+    lines += ["bytes " + "DEADBEEF" * 5, "bytes " + "00000001" * 5]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_random"] for r in rows(secrets.digest(frame))}
+    assert sum(got[i] for i in range(20)) >= 17 and not any(got[i] for i in range(20, 222))
+
+
 def test_repeats_against_brute_force(spark, docs, nothing):
     rng = np.random.default_rng(9)
     block = bytes(rng.integers(97, 105, 450, "u1")).decode()
