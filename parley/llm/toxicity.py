@@ -251,7 +251,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = F.broadcast(stored(chosen, "labelled"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return stored(texts.where("text IS NOT NULL").join(chosen, "doc_id"), "training")
+    found = texts.where("text IS NOT NULL").join(chosen, "doc_id")
+    # an id of many rows gives one
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    return stored(found.groupBy("doc_id").agg(one, F.first("toxic").alias("toxic")), "training")
 
 
 def probability(text: Column, model: Classifier | None) -> Column:

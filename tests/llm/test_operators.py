@@ -387,3 +387,10 @@ def test_plans_have_no_cross_join_and_no_single_task(spark, sf, name):
     if single:
         after = text[text.index(single[0]) :].splitlines()[1]
         assert "HashAggregate" in after and ("count(1)" in after or "sum(" in after)
+
+
+def test_training_rows_are_bounded_by_rows(spark):
+    table = spark.range(300).selectExpr("id % 3 + 1 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 4)], "doc_id long, toxic int")
+    got = rows(toxicity.training_rows(table, labels))
+    assert 1 <= len(got) == len({r["doc_id"] for r in got}) <= 3 and all(r["text"] for r in got)
