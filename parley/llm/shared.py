@@ -55,12 +55,20 @@ def stored(rows: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def numbered(rows: DataFrame, name: str) -> DataFrame:
-    """The rows stored with a number each (_row), the same in every later read.
+def unused(name: str, columns: Iterable[str]) -> str:
+    """A column name that is not among the given ones, which Spark compares without case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
+def numbered(rows: DataFrame, name: str, column: str = "_row") -> DataFrame:
+    """The rows stored with a number each in a new column, the same in every later read.
 
     Numbers made at each read would change with the file splits when executors come or go.
     """
-    return stored(rows.withColumn("_row", F.monotonically_increasing_id()), name, compression="zstd")
+    return stored(rows.withColumn(column, F.monotonically_increasing_id()), name, compression="zstd")
 
 
 def bounded(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
