@@ -32,7 +32,7 @@ from parley.llm.language import id_remainder
 from parley.llm.shared import bounded, stored
 from parley.llm.words import split_words
 
-TRAIN_ROWS = 5_000
+TRAIN_ROWS = 12_000
 LEXICONS = 24
 #: First letters by which terms are dealt out, so that forms of one word share a list.
 FAMILY = 3
@@ -198,8 +198,8 @@ def calibrated(model: Classifier, owner: np.ndarray, hashed: np.ndarray, toxic:
     return Classifier(model.hashes, model.weights, -(cuts[best - 1] + cuts[best]) / 2)
 
 
-def voted(train: DataFrame, lists: dict[str, int]) -> pd.DataFrame:
-    """0/1 votes and hashed features of the bounded training rows."""
+def voted(train: DataFrame, lists: dict[str, int]) -> pa.Table:
+    """0/1 votes and hashed features of the bounded training rows, as Arrow columns in order of doc_id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[int, int] = {zlib.crc32(term.encode()): n for term, n in lists.items()}
@@ -226,7 +226,7 @@ def voted(train: DataFrame, lists: dict[str, int]) -> pd.DataFrame:
             )
 
     rows = train.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, votes array<int>, features array<int>")
-    return rows.toPandas().sort_values("doc_id", kind="stable")
+    return rows.toArrow().sort_by("doc_id")
 
 
 def fit(train: DataFrame) -> Classifier | None:
@@ -236,12 +236,14 @@ def fit(train: DataFrame) -> Classifier | None:
         return None
     rows = voted(train, lists)
     prior = float(train.agg(F.avg("toxic")).first()[0])
-    posterior = label_model(np.stack(rows.votes.to_numpy()).astype("f8"), prior)
-    owner = np.repeat(np.arange(len(rows), dtype="i4"), rows.features.map(len))
-    hashed = np.concatenate(rows.pop("features").to_numpy()).astype("i4").view("u4")
+    votes = rows.column("votes").combine_chunks().flatten().to_numpy()
+    posterior = label_model(votes.reshape(rows.num_rows, -1).astype("f8"), prior)
+    features = rows.column("features").combine_chunks()
+    owner = np.repeat(np.arange(rows.num_rows, dtype="i4"), pc.list_value_length(features).to_numpy())
+    hashed = features.flatten().to_numpy().view("u4")
     listed = np.array([zlib.crc32(term.encode()) for term in lists], "u4")
     model = train_classifier(owner, hashed, posterior, listed)
-    return calibrated(model, owner, hashed, rows.toxic.to_numpy())
+    return calibrated(model, owner, hashed, rows.column("toxic").to_numpy())
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
