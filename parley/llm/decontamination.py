@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.shared import numbered, stored
+from parley.llm.shared import numbered, stored, unused
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -49,7 +49,25 @@ def shingles(word_list: Column, width: int) -> Column:
 
 
 def fingerprint(hashes: Column) -> Column:
-    """Majority bits of fewer than 2**20 hashes; three counts of 21 bits are summed at a time."""
+    """Majority bits of hashes: three counts of 21 bits at a time, or each bit alone from 2**20 hashes on."""
+    return F.when(F.size(hashes) < 1 << LANE - 1, lane_bits(hashes)).otherwise(single_bits(hashes))
+
+
+def single_bits(hashes: Column) -> Column:
+    """Majority bits of any number of hashes."""
+    out, half = F.lit(0).cast("long"), F.floor(F.size(hashes) / 2)
+    for shift in range(BITS):
+        ones = F.aggregate(
+            hashes,
+            F.lit(0).cast("long"),
+            lambda total, h: total + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(1)),
+        )
+        out = out.bitwiseOR(F.shiftleft((ones > half).cast("long"), shift))
+    return out
+
+
+def lane_bits(hashes: Column) -> Column:
+    """Majority bits of fewer than 2**20 hashes."""
     out = F.lit(0).cast("long")
     more = F.floor(F.size(hashes) / 2).cast("long")
     for shift in [*range(LANE), BITS - 1]:
@@ -110,13 +128,15 @@ def similarity(a: Column, b: Column) -> Column:
     def count(values: Column, x: Column) -> Column:
         return F.size(F.filter(values, lambda y: y == x))
 
-    repeats = F.aggregate(
-        F.array_distinct(b),
-        F.lit(0),
-        lambda total, x: total + F.least(count(a, x), count(b, x)),
-    )
-    once = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
-    shared = F.when(once, F.size(F.array_intersect(a, b))).otherwise(repeats)
+    def again(ordered: Column) -> Column:
+        """Values that a sorted array holds twice or more."""
+        return F.array_distinct(F.filter(ordered, lambda x, i: (i > 0) & (x == F.get(ordered, i - 1))))
+
+    # every shared value counts once; only values repeated on both sides are counted one by one
+    often = F.get(F.transform(F.array(F.array_sort(a)), again), F.lit(0))
+    both = F.array_intersect(often, F.get(F.transform(F.array(F.array_sort(b)), again), F.lit(0)))
+    more = F.aggregate(both, F.lit(0), lambda total, x: total + F.least(count(a, x), count(b, x)) - 1)
+    shared = F.size(F.array_intersect(a, b)) + more
     return shared / (F.size(a) + F.size(b) - shared)
 
 
@@ -219,6 +239,7 @@ def report(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> D
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no item; all columns stay."""
-    rows = numbered(docs, "documents")
-    found = leaks(rows, items, threshold).select(F.col("row").alias("_row")).distinct()
-    return rows.join(found, "_row", "left_anti").select(*docs.columns)
+    key = unused("row", docs.columns)
+    rows = numbered(docs, "documents", key)
+    found = leaks(rows.select("doc_id", "text", F.col(key).alias("_row")), items, threshold)
+    return rows.join(found.select(F.col("row").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
