@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.shared import numbered, stored
+from parley.llm.shared import numbered, stored, unused
 
 # --- fixed values: base patterns; the second group of assign has 12 or more characters -----------
 ASSIGN = (
@@ -227,7 +227,7 @@ def listing(spans: Column) -> Column:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans of every document."""
-    rows = scan(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = scan(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")))
 
     def counted(kind: int) -> Column:
         return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
@@ -261,11 +261,11 @@ def redacted(text: Column, spans: Column, mark: str) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with secrets replaced in their texts; all columns and rows stay."""
-    kept = numbered(docs, "scanned")
-    found = scan(kept).where(F.size("spans") > 0)
-    found = found.select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    joined = kept.join(found, "_row", "left")
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
-        redacted(F.col("text"), F.col("_spans"), mark)
+    key, held = unused("row", docs.columns), unused("spans", docs.columns)
+    kept = numbered(docs, "scanned", key)
+    found = scan(kept.select("doc_id", "text", F.col(key).alias("_row"))).where(F.size("spans") > 0)
+    joined = kept.join(found.select(F.col("row").alias(key), F.col("spans").alias(held)), key, "left")
+    clean = F.when(F.col(held).isNull(), F.col("text")).otherwise(
+        redacted(F.col("text"), F.col(held), mark)
     )
     return joined.withColumn("text", clean).select(*docs.columns)
