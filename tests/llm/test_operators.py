@@ -17,7 +17,6 @@ from parley.llm import (
     decontamination,
     html_text,
     language,
-    near_copies,
     packing,
     quality,
     queries,
@@ -152,28 +151,6 @@ def test_fingerprints_and_one_of_each(docs):
     assert 3 in ids and 4 not in ids and None not in ids and 0 in ids and 1 not in ids
 
 
-def test_pipeline_drops_all_near_copies(spark):
-    rng = np.random.default_rng(4)
-    texts = []
-    for size in [6, 24, 60, 150, 400] * 6:
-        words = [f"w{i}" for i in rng.integers(0, 9000, size)]
-        texts.append(" ".join(words))
-        for share in (0.005, 0.01, 0.02, 0.04, 0.08):
-            edited = [f"new{rng.integers(9000)}" if x < share else w for w, x in zip(words, rng.random(size))]
-            texts.append(" ".join(edited))
-    texts += ["", None, " ", "Two Words", "two  words"]
-    sets = [set(near_copies.shingle_set(t).tolist()) for t in texts]
-    root = list(range(len(texts)))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if a == b or (a and len(a & b) >= 0.8 * len(a | b)):
-                old, new = max(root[i], root[j]), min(root[i], root[j])
-                root = [new if x == old else x for x in root]
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = corpus_pipeline.near_duplicates(spark, frame, "")
-    assert sorted(r["doc_id"] for r in rows(kept)) == sorted(set(root))
-
-
 def test_decontamination_finds_passages(spark, docs, nothing):
     edited = PASSAGE.replace("passage30 ", "changed ")
     items = spark.createDataFrame(
