@@ -14,7 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import store_by
+
 BLOCK = 10_000
+#: Ids in a block of a stored table; a target is compared with this many messages, or twice as many.
+STORED_BLOCK = 256
+STORED_KEYS, STORED_ORDER = ["chat_id", "id_block"], ["chat_id", "id_block", "message_id"]
 
 
 def message_struct() -> Column:
@@ -96,15 +101,42 @@ def neighbours_of(targets: DataFrame, messages: DataFrame, window: int = 2) -> D
     return asked.join(messages, ["chat_id", "message_id"])
 
 
-def carry_neighbours(
-    targets: DataFrame, messages: DataFrame, window: int, neighbour: Column, out: str
-) -> DataFrame:
-    """Add `out`, the `neighbour` structs around each target in id order, to the targets.
+def id_block(message_id: Column) -> Column:
+    return F.floor(message_id / F.lit(STORED_BLOCK)).cast("bigint")
 
-    Targets must be unique per message; those whose id is no message of the chat drop out. The
-    targets are computed once: their columns travel with the request for the own message, the
-    other requests carry keys only.
+
+def store_messages(messages: DataFrame, path: str | None = None, buckets: int | None = None) -> DataFrame:
+    """The messages stored in buckets by chat and block of ids, with the column `id_block`.
+
+    Takes any table with chat_id and message_id, so also a search index. Functions that look up neighbours
+    or rows by id use the layout where that column is there.
     """
+    rows = messages.withColumn("id_block", id_block(F.col("message_id")))
+    return store_by(rows, STORED_KEYS, STORED_ORDER, path, buckets)
+
+
+def _asked_by_block(targets: DataFrame, stored: DataFrame, window: int, neighbour: Column) -> DataFrame:
+    """(chat_id, _target, _own, _neighbour) from a stored table; its buckets are joined as they are."""
+    target_id = F.col("message_id")
+    first, last = target_id - window, target_id + window
+    requests = targets.select(
+        "chat_id",
+        target_id.alias("_target"),
+        F.struct(*targets.columns).alias("_row"),
+        F.explode(F.sequence(id_block(first), id_block(last))).alias("id_block"),
+    )
+    around = stored.select("chat_id", "id_block", "message_id", neighbour.alias("_neighbour"))
+    apart = F.abs(F.col("message_id") - F.col("_target"))
+    own = F.when(apart == 0, F.col("_row"))
+    return (
+        requests.join(around, STORED_KEYS)
+        .where(apart <= window)
+        .select("chat_id", "_target", own.alias("_own"), "_neighbour")
+    )
+
+
+def _asked_by_id(targets: DataFrame, messages: DataFrame, window: int, neighbour: Column) -> DataFrame:
+    """(chat_id, _target, _own, _neighbour) of any table of messages."""
     own = F.struct(*targets.columns)
     target_id = F.col("message_id")
     offsets = F.sequence(F.lit(-window), F.lit(window))
@@ -120,10 +152,25 @@ def carry_neighbours(
             )
         ),
     )
-    found = requests.join(
+    return requests.join(
         messages.select("chat_id", "message_id", neighbour.alias("_neighbour")),
         ["chat_id", "message_id"],
     )
+
+
+def carry_neighbours(
+    targets: DataFrame, messages: DataFrame, window: int, neighbour: Column, out: str
+) -> DataFrame:
+    """Add `out`, the `neighbour` structs around each target in id order, to the targets.
+
+    Targets must be unique per message; those whose id is no message of the chat drop out. The
+    targets are computed once: their columns travel with the request for the own message, the
+    other requests carry keys only.
+    """
+    if "id_block" in messages.columns:
+        found = _asked_by_block(targets, messages, window, neighbour)
+    else:
+        found = _asked_by_id(targets, messages, window, neighbour)
     return (
         found.groupBy("chat_id", "_target")
         .agg(

@@ -16,6 +16,7 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from .context import carry_neighbours, message_struct
 from .validate import keep_first
+from .vector_index import ClusteredIndex, nearest_each
 
 AI_FIELDS = ["type", "task", "deadline", "priority", "confidence", "evidence", "is_important"]
 
@@ -64,11 +65,13 @@ def top_k(rows: DataFrame, query_vector: Column, k: int, tie: str, vector: str =
     return _scored(rows, query_vector, vector).orderBy(F.desc("semantic_score"), tie).limit(k)
 
 
-def with_results(hits: DataFrame, results: DataFrame | None, seq: str | None = None) -> DataFrame:
+def with_results(
+    hits: DataFrame, results: DataFrame | None, seq: str | None = None, also: tuple[str, ...] = ()
+) -> DataFrame:
     """Left-join the extracted result of each hit.
 
     Of several results for one message the first by the column ``seq`` counts; without it, the
-    first in the order of their fields.
+    first in the order of their fields. Hits are unique by message and the columns ``also``.
     """
     if results is None:
         kinds = {"confidence": "double", "is_important": "boolean"}
@@ -78,12 +81,15 @@ def with_results(hits: DataFrame, results: DataFrame | None, seq: str | None = N
         results.select("chat_id", "message_id", found), ["chat_id", "message_id"], "left"
     )
     # joined before it is reduced, so only results of hits are compared
-    return keep_first(joined, "_found").select(*hits.columns, *[f"_found.{c}" for c in AI_FIELDS])
+    return keep_first(joined, "_found", also).select(*hits.columns, *[f"_found.{c}" for c in AI_FIELDS])
+
 
+def score_hits(hits: DataFrame, question: str | Column) -> DataFrame:
+    """Add keyword, fact and combined scores to nearest rows joined with their results.
 
-def score_hits(hits: DataFrame, question: str) -> DataFrame:
-    """Add keyword, fact and combined scores to nearest rows joined with their results."""
-    asked = kw.keywords(F.lit(question))
+    The question is a text, or a column of the hits.
+    """
+    asked = kw.keywords(F.lit(question) if isinstance(question, str) else question)
     return (
         hits.withColumn("keyword_score", kw.overlap(asked, F.col("message")))
         .withColumn("ai_score", kw.overlap(asked, kw.facts_text()))
@@ -121,6 +127,29 @@ def rank_hits(
     )
 
 
+def rank_hits_each(
+    index: ClusteredIndex,
+    questions: DataFrame,
+    results: DataFrame | None = None,
+    top_k: int = 5,
+    seq: str | None = None,
+) -> DataFrame:
+    """``rank_hits`` for a table of questions (question_id, question, vector) on a clustered index.
+
+    One job answers all of them; rows have the columns question_id and question. Blank questions give no rows.
+    """
+    asked = questions.where(~tx.is_blank(F.coalesce("question", F.lit(""))))
+    near = nearest_each(index, asked, kw.OVERFETCH * top_k, "message_id").drop(index.vector)
+    near = near.join(asked.select("question_id", "question"), "question_id")
+    found = with_results(near, results, seq, ("question_id",))
+    best = Window.partitionBy("question_id", "chat_id").orderBy(F.desc("score"), "semantic_rank")
+    return (
+        score_hits(found, F.col("question"))
+        .withColumn("rank", F.row_number().over(best))
+        .where(F.col("rank") <= top_k)
+    )
+
+
 def attach_hit_context(hits: DataFrame, messages: DataFrame, window: int = 2) -> DataFrame:
     """Add `context`, the messages around each hit including itself."""
     return carry_neighbours(hits, messages, window, message_struct(), "context")

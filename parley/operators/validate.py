@@ -59,9 +59,9 @@ def ground(results: DataFrame) -> DataFrame:
     ).drop("_demoted")
 
 
-def keep_first(rows: DataFrame, seq: str = "seq") -> DataFrame:
-    """The first row of each message in the order of `seq`."""
-    first = Window.partitionBy("chat_id", "message_id").orderBy(seq)
+def keep_first(rows: DataFrame, seq: str = "seq", also: tuple[str, ...] = ()) -> DataFrame:
+    """The first row of each message (and of the columns `also`) in the order of `seq`."""
+    first = Window.partitionBy(*also, "chat_id", "message_id").orderBy(seq)
     return rows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 

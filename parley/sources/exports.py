@@ -24,6 +24,7 @@ from ..functions import text as tx
 from ..functions import timestamps as ts
 from ..operators.numbering import slice_starts
 from ..schema import GROUP_NOTIFICATION, MESSAGES
+from ..storage import store_by
 
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
 
@@ -90,37 +91,62 @@ def parse_texts(texts: DataFrame, pivot_year: int | None = None) -> DataFrame:
 
 
 def parse_pieces(pieces: DataFrame, pivot_year: int | None = None) -> DataFrame:
-    """Messages of chats given as pieces (chat_id, split, pos, piece, open_end).
+    """Messages of chats given as pieces (chat_id, split, pos, piece, open_end, size).
 
     The pieces of a chat in order of (split, pos) make up its text, and a piece holds no hyphen
-    but a leading one. ``open_end`` tells that no hyphen follows the last piece of the split.
-    A header is thus the end of a piece that a hyphen follows.
+    but a leading one. A header is the end of a piece that a hyphen follows; only the last piece of a split may lack
+    one, which ``open_end`` tells, or, where that is null, the bytes of all pieces against the ``size`` of the file.
+
+    The pieces are read once: segments are made by split and stored in buckets, and what crosses splits
+    (counts, and text ahead of a split's first header) comes out of that table.
     """
-    ends = ts.STAMP + rf"[{tx.WS}]*\z"
-    in_split = Window.partitionBy("chat_id", "split").orderBy("pos")
-    ahead = in_split.rowsBetween(Window.unboundedPreceding, -1)
-    followed = F.lead(F.lit(1)).over(in_split).isNotNull() | ~F.col("open_end")
-    tail = F.when(followed, F.col("_tail")).otherwise("")
-    cut = (
-        pieces.withColumn("_tail", _first_match(ends, F.col("piece")))
-        .withColumn("tail", tail)
+    local = store_by(segments(pieces, pivot_year), ["chat_id", "split"], ["chat_id", "split", "g"])
+    placed = _placed(local)
+
+    # joined where the text already lies, so each text is shuffled once
+    rest = F.when(F.col("g") == F.col("headers"), F.col("rest"))
+    whole = F.concat("text", F.coalesce(rest, F.lit("")))
+    rows = (
+        local.where((F.col("g") > 0) & F.col("date").isNotNull())
+        .join(placed, ["chat_id", "split"])
+        .where(F.col("g") <= F.col("headers"))
         .select(
             "chat_id",
-            "split",
-            "pos",
-            F.expr("left(piece, length(piece) - length(tail))").alias("body"),
-            F.expr(ts.stamp_to_date("tail", pivot_year)).alias("date"),
-            (F.col("tail") != "").alias("is_header"),
+            (F.col("dated_start") + F.col("nth")).alias("message_id"),
+            "date",
+            # the leading hyphen belongs to the header
+            F.substr(whole, F.lit(2)).alias("raw"),
         )
     )
+    return _to_messages(rows)
+
 
-    # Headers, and headers with a readable date, ahead of each piece of a split.
-    headers = F.col("is_header").cast("bigint")
-    dated = F.col("date").isNotNull().cast("bigint")
+def segments(pieces: DataFrame, pivot_year: int | None = None) -> DataFrame:
+    """Text of each message by split: (chat_id, split, g, text, date, nth, doubt, open_end, bytes, size).
+
+    g counts the headers of a split and nth those with a readable date; g = 0 is the text ahead of the first. ``doubt`` is
+    the end of the last piece of a split, which is a header unless no hyphen follows.
+    """
+    ends = ts.STAMP + rf"[{tx.WS}]*\z"
+    in_split = Window.partitionBy("chat_id", "split").orderBy("pos")
+    ahead = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    of_split = Window.partitionBy("chat_id", "split")
+    cut = pieces.withColumn("tail", _first_match(ends, F.col("piece"))).select(
+        "chat_id",
+        "split",
+        "pos",
+        "open_end",
+        "size",
+        F.sum(F.octet_length("piece")).over(of_split).alias("bytes"),
+        F.expr("left(piece, length(piece) - length(tail))").alias("body"),
+        F.expr(ts.stamp_to_date("tail", pivot_year)).alias("date"),
+        F.nullif(F.col("tail"), F.lit("")).alias("tail"),
+        F.lead(F.lit(1)).over(in_split).isNull().alias("is_last"),
+    )
     numbered = cut.select(
         "*",
-        F.coalesce(F.sum(headers).over(ahead), F.lit(0)).alias("g"),
-        F.coalesce(F.sum(dated).over(ahead), F.lit(0)).alias("v"),
+        F.count("tail").over(ahead).alias("g"),
+        F.count("date").over(ahead).alias("v"),
     )
 
     # A piece continues message g of its split; a header opens message g + 1.
@@ -130,70 +156,80 @@ def parse_pieces(pieces: DataFrame, pivot_year: int | None = None) -> DataFrame:
         F.struct(F.col("pos"), F.col("body")).alias("part"),
         nothing.cast("timestamp_ntz").alias("date"),
         nothing.cast("bigint").alias("nth"),
+        nothing.cast("string").alias("doubt"),
     )
     opened = F.when(
-        F.col("is_header"),
+        F.col("tail").isNotNull(),
         F.struct(
             (F.col("g") + 1).alias("g"),
             F.struct(F.col("pos"), F.lit("").alias("body")).alias("part"),
             F.col("date"),
             (F.col("v") + 1).alias("nth"),
+            F.when(F.col("is_last"), F.col("tail")).alias("doubt"),
         ),
     )
-    local = (
+    return (
         numbered.select(
-            "chat_id", "split", F.inline(F.array_compact(F.array(continued, opened)))
+            "chat_id", "split", "open_end", "bytes", "size", F.inline(F.array_compact(F.array(continued, opened)))
         )
         .groupBy("chat_id", "split", "g")
         .agg(
             F.array_sort(F.collect_list("part")).alias("parts"),
-            F.max("date").alias("date"),
-            F.max("nth").alias("nth"),
+            *[F.max(c).alias(c) for c in ("date", "nth", "doubt", "open_end", "bytes", "size")],
         )
         .withColumn("text", F.array_join(F.transform("parts", lambda p: p.body), ""))
+        .withColumn("nth", F.when(F.col("date").isNotNull(), F.col("nth")))
+        .drop("parts")
     )
 
-    # One row of counts per split. The text ahead of a split's first header belongs to the last
-    # message of an earlier split; it meets the counts by split and only where such a message exists.
-    splits = slice_starts(
-        numbered.groupBy("chat_id", "split").agg(
-            F.sum(headers).alias("headers"), F.sum(dated).alias("dated")
-        ),
+
+def _placed(local: DataFrame) -> DataFrame:
+    """(chat_id, split, headers, dated_start, rest): one row per split of stored segments.
+
+    ``rest`` is text that belongs to the split's last message but lies ahead of the first header of later splits,
+    or in a last piece that turned out to be no header.
+    """
+    chat = Window.partitionBy("chat_id")
+    by_bytes = (F.col("split") == F.max("split").over(chat)) & (
+        # the reader drops a three-byte order mark
+        F.sum("bytes").over(chat) - F.col("size")
+    ).isin(1, -2)
+    counted = local.groupBy("chat_id", "split").agg(
+        F.max("g").alias("g"),
+        F.coalesce(F.max("nth"), F.lit(0)).alias("v"),
+        F.max("doubt").alias("doubt"),
+        F.max(F.col("doubt").isNotNull() & F.col("date").isNotNull()).alias("doubt_dated"),
+        *[F.max(c).alias(c) for c in ("open_end", "bytes", "size")],
+    )
+    ghost = F.col("doubt").isNotNull() & F.coalesce("open_end", by_bytes)
+    splits = counted.withColumn("ghost", ghost).select(
         "chat_id",
         "split",
-        "headers",
-        "dated",
-        keep=["headers"],
+        F.when(F.col("ghost"), F.col("doubt")).alias("doubt"),
+        (F.col("g") - F.col("ghost").cast("bigint")).alias("headers"),
+        (F.col("v") - (F.col("ghost") & F.col("doubt_dated")).cast("bigint")).alias("dated"),
     )
-    rests = (
+    splits = slice_starts(splits, "chat_id", "split", "headers", "dated", keep=["headers", "doubt"])
+    splits = splits.withColumn("last_header", F.col("headers_start") + F.col("headers"))
+
+    leads = (
         local.where((F.col("g") == 0) & (F.col("text") != ""))
-        .select("chat_id", "split", F.col("text").alias("lead"))
-        .join(splits.where("headers_start > 0"), ["chat_id", "split"])
-        .groupBy("chat_id", F.col("headers_start").alias("last_header"))
-        .agg(F.array_sort(F.collect_list(F.struct("split", "lead"))).alias("rest"))
-        .withColumn("rest", F.array_join(F.transform("rest", lambda r: r.lead), ""))
+        .select("chat_id", "split", F.lit(0).alias("place"), "text")
+        .join(splits.select("chat_id", "split", F.col("headers_start").alias("last_header")), ["chat_id", "split"])
     )
-    placed = (
-        splits.withColumn("last_header", F.col("headers_start") + F.col("headers"))
-        .join(rests, ["chat_id", "last_header"], "left")
-        .select("chat_id", "split", "headers", "dated_start", "rest")
+    ghosts = splits.where(F.col("doubt").isNotNull()).select(
+        "chat_id", "split", F.lit(1).alias("place"), F.col("doubt").alias("text"), "last_header"
     )
-
-    # Joined where the text already lies, so each text is shuffled once.
-    rest = F.when(F.col("g") == F.col("headers"), F.col("rest"))
-    whole = F.concat("text", F.coalesce(rest, F.lit("")))
-    rows = (
-        local.where((F.col("g") > 0) & F.col("date").isNotNull())
-        .join(placed, ["chat_id", "split"])
-        .select(
-            "chat_id",
-            (F.col("dated_start") + F.col("nth")).alias("message_id"),
-            "date",
-            # the leading hyphen belongs to the header
-            F.substr(whole, F.lit(2)).alias("raw"),
-        )
+    rests = (
+        leads.unionByName(ghosts)
+        .where(F.col("last_header") > 0)
+        .groupBy("chat_id", "last_header")
+        .agg(F.array_sort(F.collect_list(F.struct("split", "place", "text"))).alias("rest"))
+        .withColumn("rest", F.array_join(F.transform("rest", lambda r: r.text), ""))
+    )
+    return splits.join(rests, ["chat_id", "last_header"], "left").select(
+        "chat_id", "split", "headers", "dated_start", "rest"
     )
-    return _to_messages(rows)
 
 
 def pieces_of(texts: DataFrame) -> DataFrame:
@@ -208,6 +244,7 @@ def pieces_of(texts: DataFrame) -> DataFrame:
         F.col("pos").cast("bigint").alias("pos"),
         F.concat(lead, "part").alias("piece"),
         F.lit(True).alias("open_end"),
+        F.lit(None).cast("bigint").alias("size"),
     )
 
 
@@ -235,20 +272,14 @@ def scan_pieces(spark: SparkSession, path: str, min_bytes: int = -1) -> DataFram
             "value",
         )
     )
-    # Records do not tell whether a hyphen follows the last one, the byte count does; the
-    # reader drops a three-byte order mark.
-    surplus = F.sum(F.octet_length("value") + F.lit(1)) - F.max("size")
-    last = (
-        records.groupBy("chat_id")
-        .agg(F.max("split").alias("split"), surplus.isin(1, -2).alias("open_end"))
-        .where("open_end")
-    )
-    return records.join(last, ["chat_id", "split"], "left").select(
+    # records do not tell whether a hyphen follows the last one; the byte count does
+    return records.select(
         "chat_id",
         "split",
         "pos",
         F.concat(F.lit("-"), "value").alias("piece"),
-        F.coalesce("open_end", F.lit(False)).alias("open_end"),
+        F.lit(None).cast("boolean").alias("open_end"),
+        "size",
     )
 
 
@@ -287,7 +318,8 @@ def export_rejects(
     piece = F.col("piece")
     stamped = piece.rlike(ts.STAMP + rf"[{tx.WS}]*\z")
     # a stamp at an open end is no header
-    open_stamp = F.bool_or("open_end") & F.max_by(stamped, F.struct("split", "pos"))
+    open_end = (F.sum(F.octet_length("piece")) - F.max("size")).isin(1, -2)
+    open_stamp = open_end & F.max_by(stamped, F.struct("split", "pos"))
     large = (
         scan_pieces(spark, path, whole_file_bytes)
         .groupBy("chat_id")
