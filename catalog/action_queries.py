@@ -18,7 +18,7 @@ from parley.schema import AI_RESULTS, with_chat_type
 
 from . import fixtures as fx
 from .chat_queries import CANDS, NUMBERED, ORACLES, QUERIES, _contexts, register
-from .chat_queries import s_action_key, s_deadline_key, s_overlap
+from .chat_queries import s_action_key, s_deadline_key, s_normalize, s_overlap
 from .fixtures import MSGS, quote, s_collapse, s_strip
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -626,11 +626,26 @@ def embed_messages(spark, sf):
     return rows.select("chat_id", "message_id", *numbers())
 
 
-@register("embed_hashing")
+_TERMS = f"""list_filter(string_split({s_normalize("text")}, ' '), lambda w: w <> '')"""
+_DIMENSIONS_SQL = f"""list_transform({_TERMS}, lambda w: (('0x' || substr(md5(w), 1, 8))::BIGINT % 256)::INT)"""
+
+
+@register(
+    "embed_hashing",
+    f"""WITH t AS (SELECT conv_id AS chat_id, turn + 1 AS message_id, {_DIMENSIONS_SQL} AS dims FROM conversations),
+df AS (SELECT d, count(*) AS n FROM (SELECT unnest(list_distinct(dims)) AS d FROM t) GROUP BY d),
+tf AS (SELECT chat_id, message_id, d, count(*) AS n FROM (SELECT chat_id, message_id, unnest(dims) AS d FROM t) GROUP BY ALL)
+SELECT chat_id, message_id, d::INT AS dimension,
+  round((tf.n * ln(((SELECT count(*) FROM t) + 1)::DOUBLE / (df.n + 1)))::FLOAT::DOUBLE, 4) AS weight
+FROM tf JOIN df USING (d) WHERE weight <> 0""",
+)
 def embed_hashing(spark, sf):
-    """The offline encoder."""
+    """The offline encoder: one row per message and dimension in use."""
     rows = fx.conversation_messages(spark, sf)
-    return pl.HashingEncoder.fit(rows).transform(rows).select("chat_id", "message_id", "vector")
+    encoded = pl.HashingEncoder.fit(rows).transform(rows)
+    each = encoded.select("chat_id", "message_id", F.posexplode("vector").alias("dimension", "weight"))
+    weight = F.round(F.col("weight").cast("double"), 4)
+    return each.select("chat_id", "message_id", "dimension", weight.alias("weight")).where("weight <> 0")
 
 
 _STRIPPED = s_letters(s_strip("message"))

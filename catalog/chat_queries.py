@@ -197,7 +197,8 @@ def filter_user(spark, sf):
 
 _URL_SQL = r"(?i)(https?://|www\.)[^\x09-\x0d\x1c-\x1f\x{85}\p{Z}]+"
 _MAIL_SQL = r"(?i)[a-z0-9._%+-]{1,64}@[a-z0-9.-]+"
-_HOST_SQL = rf"(?i)([a-z0-9][a-z0-9-]{{0,62}}\.)+({tx.BARE_DOMAINS.replace(' ', '|')})\b(/[^\x09-\x0d\x1c-\x1f\x{{85}}\p{{Z}}]*)?"
+_HOST_SQL = rf"(?i){tx.LABEL}(\.{tx.LABEL})+(/[^\x09-\x0d\x1c-\x1f\x{{85}}\p{{Z}}]*)?"
+_ENDINGS_SQL = ", ".join(quote(x) for x in tx.BARE_DOMAINS.split())
 
 
 def s_links(text: str) -> str:
@@ -205,7 +206,9 @@ def s_links(text: str) -> str:
     bare = text
     for pattern in (_URL_SQL, _MAIL_SQL):
         bare = f"regexp_replace({bare}, {quote(pattern)}, ' ', 'g')"
-    return f"len(regexp_extract_all({text}, {quote(_URL_SQL)})) + len(regexp_extract_all({bare}, {quote(_HOST_SQL)}))"
+    labels = "string_split(lower(string_split(x, '/')[1]), '.')[2:]"
+    hosts = f"list_filter(regexp_extract_all({bare}, {quote(_HOST_SQL)}), lambda x: list_has_any({labels}, [{_ENDINGS_SQL}]))"
+    return f"len(regexp_extract_all({text}, {quote(_URL_SQL)})) + len({hosts})"
 
 
 def _measures() -> str:
@@ -270,7 +273,9 @@ def user_percent(spark, sf):
 @register(
     "monthly_timeline",
     f"""WITH {EV} SELECT chat_id, year, month_num, month, count(*) AS messages,
-  month || '-' || year AS time FROM evc GROUP BY ALL""",
+  month || '-' || year AS time,
+  (row_number() OVER (PARTITION BY chat_id ORDER BY year, month_num))::INT AS place
+FROM evc GROUP BY chat_id, year, month_num, month""",
 )
 def monthly_timeline(spark, sf):
     return pl.monthly_timeline(fx.event_messages(spark, sf))
@@ -278,7 +283,9 @@ def monthly_timeline(spark, sf):
 
 @register(
     "daily_timeline",
-    f"WITH {EV} SELECT chat_id, only_date, count(*) AS messages FROM evc GROUP BY ALL",
+    f"WITH {EV} SELECT chat_id, only_date, count(*) AS messages, "
+    "(row_number() OVER (PARTITION BY chat_id ORDER BY only_date))::INT AS place "
+    "FROM evc GROUP BY chat_id, only_date",
 )
 def daily_timeline(spark, sf):
     return pl.daily_timeline(fx.event_messages(spark, sf))
@@ -286,7 +293,9 @@ def daily_timeline(spark, sf):
 
 @register(
     "week_activity",
-    f"WITH {EV} SELECT chat_id, day_name, count(*) AS messages FROM evc GROUP BY ALL",
+    f"WITH {EV} SELECT chat_id, day_name, count(*) AS messages, "
+    "(row_number() OVER (PARTITION BY chat_id ORDER BY count(*) DESC, day_name))::INT AS place "
+    "FROM evc GROUP BY chat_id, day_name",
 )
 def week_activity(spark, sf):
     return pl.week_activity(fx.event_messages(spark, sf))
@@ -294,7 +303,9 @@ def week_activity(spark, sf):
 
 @register(
     "month_activity",
-    f"WITH {EV} SELECT chat_id, month, count(*) AS messages FROM evc GROUP BY ALL",
+    f"WITH {EV} SELECT chat_id, month, count(*) AS messages, "
+    "(row_number() OVER (PARTITION BY chat_id ORDER BY count(*) DESC, month))::INT AS place "
+    "FROM evc GROUP BY chat_id, month",
 )
 def month_activity(spark, sf):
     return pl.month_activity(fx.event_messages(spark, sf))
@@ -323,8 +334,8 @@ def activity_heatmap_wide(spark, sf):
 
 @register(
     "participants",
-    f"""WITH {EV} SELECT DISTINCT chat_id, 1 AS place, "user" FROM evc
-WHERE "user" <> 'group_notification'
+    f"""WITH {EV}, u AS (SELECT DISTINCT chat_id, "user" FROM evc WHERE "user" <> 'group_notification')
+SELECT chat_id, (row_number() OVER (PARTITION BY chat_id ORDER BY "user"))::INT AS place, "user" FROM u
 UNION ALL SELECT DISTINCT chat_id, 0, 'Overall' FROM evc""",
 )
 def participants(spark, sf):

@@ -60,12 +60,16 @@ def _hex_class(ranges: str) -> str:
 
 EMOJI = f"[{_hex_class(EMOJI_RANGES)}]"
 # A link is a full URL or a bare host with a known ending, in any case. Mail addresses are matched
-# as well, so that their hosts are not, and left out afterwards. No look-around, and bounded
-# repeats, so that long words cost no more than others.
+# as well, so that their hosts are not, and left out afterwards. Repeats are possessive or bounded, so that long
+# words and long chains of labels cost no more than others.
 MAIL = r"[a-z0-9._%+-]{1,64}@[a-z0-9.-]+"
-BARE_HOST = rf"(?:[a-z0-9][a-z0-9-]{{0,62}}\.)+(?:{'|'.join(BARE_DOMAINS.split())})\b(?:/[^{WS}]*)?"
-LINK = rf"(?i)(?:https?://|www\.)[^{WS}]+|{MAIL}|{BARE_HOST}"
+LABEL = r"[\p{L}\p{N}][\p{L}\p{N}-]{0,62}"
+HOST = rf"{LABEL}+(?:\.{LABEL}+)++"
+LINK = rf"(?i)(?:https?://|www\.)[^{WS}]+|{MAIL}|{HOST}(?:/[^{WS}]*)?"
 IS_MAIL = r"^[^/@]+@"
+IS_URL = r"(?i)^(?:https?://|www\.)"
+#: Endings travel with the plan as a set, so their number is limited; all public ones are far fewer.
+MOST_ENDINGS = 20_000
 
 
 def strip(col: Column) -> Column:
@@ -115,13 +119,29 @@ def remove_stop_words(col: Column, stop_words: list[str]) -> Column:
     return F.array_join(kept, " ")
 
 
-def links(col: Column) -> Column:
+def has_ending(host: Column, endings: list[str]) -> Column:
+    """Whether any label of a host but the first is one of the endings."""
+    labels = F.split(F.lower(host), r"\.")
+    return F.exists(F.slice(labels, F.lit(2), F.size(labels)), lambda x: x.isin(endings))
+
+
+def links(col: Column, endings: list[str] | None = None) -> Column:
+    """Links of a text: full URLs, `www.` hosts, and bare hosts with one of the endings.
+
+    `endings` are lower-case labels, see ``sources.endings``; without any the built-in list counts.
+    """
+    endings = BARE_DOMAINS.split() if endings is None else endings
+    if len(endings) > MOST_ENDINGS:
+        raise ValueError(f"more than {MOST_ENDINGS} endings")
     found = F.regexp_extract_all(col, F.lit(LINK), F.lit(0))
-    return F.filter(found, lambda x: ~x.rlike(IS_MAIL) | x.rlike(r"(?i)^www\."))
+    return F.filter(
+        found,
+        lambda x: x.rlike(IS_URL) | (~x.rlike(IS_MAIL) & has_ending(F.substring_index(x, "/", 1), endings)),
+    )
 
 
-def link_count(col: Column) -> Column:
-    return F.size(links(col))
+def link_count(col: Column, endings: list[str] | None = None) -> Column:
+    return F.size(links(col, endings))
 
 
 def emojis(col: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import materialize
+
 # Message ids per slice; ids are dense, so this bounds the rows of a slice.
 SLICE_IDS = 500_000
 
@@ -57,3 +59,24 @@ def number_by_id(rows: DataFrame, out: str, first: int = 1) -> DataFrame:
     """Dense numbers per chat for a subset of its messages, in order of the message id."""
     slices = F.floor(F.col("message_id") / F.lit(SLICE_IDS))
     return number_rows(rows, "chat_id", ["message_id"], slices, out, first)
+
+
+def place_rows(rows: DataFrame, key: str, order: list, out: str, first: int = 1) -> DataFrame:
+    """Dense numbers ``first, first + 1, ...`` per key in any order, whatever number of rows a key has.
+
+    Rows are dealt out by ranges of (key, order), sorted in their range and stored at once with their place in it.
+    What lies ahead in the key is then a running sum over the ranges, of which one key has few. Rows that are equal
+    in the order get numbers in no particular order.
+    """
+    dealt = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    stored = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    # the upper bits of that number are the range
+    stored = stored.withColumn("_range", F.shiftright("_at", 33))
+    counts = stored.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    starts = slice_starts(counts, key, "_range", "_n", keep=["_first"])
+    number = F.col("_n_start") + F.col("_at") - F.col("_first") + F.lit(first)
+    # a null key meets itself
+    joined = stored.alias("r").join(
+        starts.alias("s"), F.col(f"r.{key}").eqNullSafe(F.col(f"s.{key}")) & (F.col("r._range") == F.col("s._range"))
+    )
+    return joined.select(*[F.col(f"r.{c}") for c in rows.columns], number.cast("bigint").alias(out))

@@ -25,9 +25,10 @@ from pyspark.sql.window import Window
 from ..functions import vectors as vec
 from ..storage import shared_dir
 
-#: Pivots are a bounded sample of rows, those of the smallest hashes.
 CLUSTERS = 64
 MOST_CLUSTERS = 1024
+#: Pivots are fitted to a bounded sample of distinct vectors, those of the smallest hashes.
+SAMPLE, MOST_SAMPLED, ROUNDS = 32, 1 << 14, 5
 QUESTIONS_AT_ONCE = 64
 #: What rounding of sums in double precision may add to a bound.
 SLACK = 1e-9
@@ -47,16 +48,28 @@ def _length(vector: Column) -> Column:
     return F.sqrt(vec.dot(vector, vector))
 
 
+def _squares(matrix: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return (matrix**2).sum(1)[:, None] - 2 * matrix @ points.T + (points**2).sum(1)
+
+
 def _pivots(rows: DataFrame, vector: str, clusters: int) -> np.ndarray:
-    found = (
-        rows.select(F.col(vector).cast("array<double>").alias("v"))
-        .groupBy("v")
-        .agg(F.xxhash64("v").alias("h"))
-        .orderBy("h", "v")
-        .limit(clusters)
-        .collect()
-    )
-    return np.array([r.v for r in found], "f8")
+    """Pivots fitted to a sample: points far from each other first, then a few rounds of their means."""
+    vectors = rows.select(F.col(vector).cast("array<double>").alias("v")).distinct()
+    sample = vectors.orderBy(F.xxhash64("v"), "v").limit(min(SAMPLE * clusters, MOST_SAMPLED)).toArrow()
+    column = sample.column("v").combine_chunks()
+    if not len(column):
+        return np.zeros((1, 1))
+    matrix = column.flatten().to_numpy().reshape(len(column), -1)
+    chosen, apart = [0], _squares(matrix, matrix[:1])[:, 0]
+    while len(chosen) < min(clusters, len(matrix)):
+        chosen.append(int(apart.argmax()))
+        apart = np.minimum(apart, _squares(matrix, matrix[chosen[-1:]])[:, 0])
+    points = matrix[chosen]
+    for _ in range(ROUNDS):
+        nearest = _squares(matrix, points).argmin(1)
+        for i in np.unique(nearest):
+            points[i] = matrix[nearest == i].mean(0)
+    return points
 
 
 def _assigned(vector: Column, pivots: np.ndarray) -> Column:
@@ -65,8 +78,7 @@ def _assigned(vector: Column, pivots: np.ndarray) -> Column:
     @F.pandas_udf("cluster int, to_pivot double, length double")
     def nearest(vectors: pd.Series) -> pd.DataFrame:
         matrix = np.array(vectors.tolist(), "f8").reshape(len(vectors), pivots.shape[1])
-        squares = (matrix**2).sum(1)[:, None] - 2 * matrix @ pivots.T + (pivots**2).sum(1)
-        cluster = squares.argmin(1)
+        cluster = _squares(matrix, pivots).argmin(1)
         to_pivot = np.sqrt(((matrix - pivots[cluster]) ** 2).sum(1))
         length = np.sqrt((matrix**2).sum(1))
         return pd.DataFrame({"cluster": cluster.astype("i4"), "to_pivot": to_pivot, "length": length})
@@ -79,15 +91,13 @@ def cluster_index(
 ) -> ClusteredIndex:
     """Store an index by cluster; runs at once. All vectors have the same number of components.
 
-    `clusters` pivots travel as a constant, so their number is limited to MOST_CLUSTERS.
+    Pivots travel as a constant, so their number is limited to MOST_CLUSTERS.
     """
     if not 1 <= clusters <= MOST_CLUSTERS:
         raise ValueError(f"between 1 and {MOST_CLUSTERS} clusters")
     spark = index.sparkSession
     path = path or f"{shared_dir(spark).rstrip('/')}/clusters-{uuid.uuid4().hex}"
     pivots = _pivots(index, vector, clusters)
-    if not len(pivots):
-        pivots = np.zeros((1, 1))
     rows = index.withColumn("_place", _assigned(F.col(vector), pivots)).select(*index.columns, "_place.*")
     # ranges of hashes inside a cluster: a large cluster is written by several tasks
     dealt = rows.repartitionByRange("cluster", F.xxhash64(by, vector))

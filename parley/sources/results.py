@@ -134,6 +134,18 @@ def read_results_csv_split(
     return rows.select(F.from_csv(record, fields, options).alias("row")).select("row.*")
 
 
-def write_results_csv(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write a results table as CSV parts with a header each, without a byte-order mark."""
+#: Tells spreadsheets that a file is UTF-8; it stands ahead of the header in each file.
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def write_results_csv(
+    results: DataFrame, path: str, mode: str = "errorifexists", byte_order_mark: bool = True
+) -> None:
+    """Write a results table as CSV parts with a header each, marked as UTF-8 for spreadsheets.
+
+    The mark is written as the first character of the header, so Spark's own writer and its commit
+    protocol make the files, on any file system.
+    """
+    if byte_order_mark and results.columns:
+        results = results.withColumnRenamed(results.columns[0], BYTE_ORDER_MARK + results.columns[0])
     results.write.mode(mode).options(**_FORMAT, **_EXACT).csv(path)

@@ -70,3 +70,42 @@ def test_empty_files(spark, tmp_path):
     (tmp_path / "none.csv").write_text("")
     (tmp_path / "head.csv").write_text("a,b,c\n")
     assert results.read_results_csv_split(spark, str(tmp_path)).count() == 0
+
+
+def test_byte_order_mark(spark, tmp_path):
+    import glob
+
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    rows = spark.createDataFrame([("é, ü", 1, "two\nlines"), (None, 2, 'a "b"')], SCHEMA).coalesce(1)
+    path = str(tmp_path / "out")
+    results.write_results_csv(rows, path)
+    (part,) = glob.glob(path + "/part-*.csv")
+    assert open(part, "rb").read(3) == b"\xef\xbb\xbf"
+    frame = pd.read_csv(part, encoding="utf-8-sig")
+    assert list(frame.columns) == ["a", "b", "c"] and frame["c"][0] == "two\nlines" and frame["a"][0] == "é, ü"
+    schema = T.StructType.fromDDL(SCHEMA)
+    for read in (results.read_results_csv, results.read_results_csv_split):
+        assert parsed(read(spark, path, schema)) == parsed(rows)
+    plain = str(tmp_path / "plain")
+    results.write_results_csv(rows, plain, byte_order_mark=False)
+    assert open(glob.glob(plain + "/part-*.csv")[0], "rb").read(1) != b"\xef"
+
+
+def test_endings(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from parley.functions import text as tx
+    from parley.sources.endings import read_endings
+
+    (tmp_path / "endings.dat").write_text("// comment\ncom\nco.uk\n*.ck\n!www.ck\n\nрф // Russia\nhorse # note\n")
+    endings = read_endings(spark, str(tmp_path / "endings.dat"))
+    assert endings == ["ck", "com", "horse", "uk", "рф", "xn--p1ai"]
+    texts = ["my.horse a.b.co.uk пример.рф xn--e1afmkfd.xn--p1ai", "no.link 1.5 e.g. this", "x.com.Then go", "me@my.horse",
+             "a." * 50_000, "x.com/a.horse/b", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = [r[0] for r in frame.select(tx.link_count(F.col("v"), endings)).collect()]
+    assert got == [4, 0, 1, 0, 0, 1, None]
+    with pytest.raises(ValueError):
+        tx.links(F.col("v"), ["x"] * 20_001)

@@ -2,11 +2,11 @@
 
 import pytest
 
-from catalog import action_queries
+from catalog import stored_queries
 from catalog import fixtures as fx
 
 # plans of the language-model queries are tested beside them
-QUERIES = dict(action_queries.QUERIES)
+QUERIES = dict(stored_queries.QUERIES)
 
 
 def plan(df):
@@ -21,7 +21,10 @@ def large(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-NO_ACTION = [n for n in QUERIES if n not in ("ai_results_csv_roundtrip", "embed_messages", "search_index", "ask_question")]
+#: Queries that write and read files on the way; their parts are tested below.
+ON_FILES = ("ai_results_csv_roundtrip", "ai_results_csv_split", "parse_export_files", "export_files_actions", "vector_topk_many", "search_many")
+PYTHON = ("embed_messages", "search_index", "ask_question")
+NO_ACTION = [n for n in QUERIES if n not in ON_FILES + PYTHON]
 
 
 @pytest.mark.parametrize("name", NO_ACTION)
@@ -75,3 +78,49 @@ def test_numbers_never_window_over_a_whole_chat_of_rows(spark, sf, large):
     windows = [line for line in text.splitlines() if "Window [" in line]
     assert len(windows) == 2
     assert sum("row_number" in w and "_slice" in w for w in windows) == 1
+
+
+def ancestors(text, leaf):
+    """Operators above each plan line that holds a word, up to the next join or aggregate."""
+    lines = text.splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for i, line in enumerate(lines):
+        if leaf in line:
+            above, at = [], depth[i]
+            for j in range(i - 1, -1, -1):
+                if depth[j] < at:
+                    at = depth[j]
+                    above.append(lines[j])
+                    if "Join" in lines[j] or "Aggregate" in lines[j]:
+                        break
+            yield above
+
+
+def test_stored_messages_are_joined_where_they_lie(spark, sf, large):
+    import parley as pl
+
+    messages = pl.store_messages(fx.messages(spark, sf))
+    targets = fx.messages(spark, sf).where("message_id % 50 = 0")
+    text = plan(pl.context_for(targets, messages))
+    found = list(ancestors(text, "Bucketed: true"))
+    assert found and not any("Exchange" in x for above in found for x in above)
+
+
+def test_split_exports_are_read_once(spark, tmp_path):
+    from parley.sources import exports
+
+    (tmp_path / "a.txt").write_text("12/09/26, 10:30 pm - Ann: hi")
+    pieces = exports.scan_pieces(spark, str(tmp_path))
+    assert plan(exports.segments(pieces)).count("FileScan text") == 1
+    # the messages come out of the stored segments alone, whose text is not shuffled again
+    text = plan(exports.parse_pieces(pieces))
+    assert "FileScan text" not in text and "Bucketed: true" in text
+
+
+def test_clusters_are_skipped_at_the_scan(spark, sf):
+    from parley.operators import vector_index as vi
+
+    rows = fx.table(spark, sf, "embeddings").selectExpr("0 AS corpus", "vec_id", "embedding AS vector")
+    index = vi.cluster_index(rows, by="corpus")
+    asked = rows.where("vec_id = 3").selectExpr("vec_id AS question_id", "vector")
+    assert "dynamicpruning" in plan(vi.nearest_each(index, asked, 5, "vec_id")).lower()
