@@ -199,7 +199,10 @@ def calibrated(model: Classifier, owner: np.ndarray, hashed: np.ndarray, toxic:
 
 
 def voted(train: DataFrame, lists: dict[str, int]) -> pa.Table:
-    """0/1 votes and hashed features of the bounded training rows, as Arrow columns in order of doc_id."""
+    """0/1 votes and hashed features of the bounded training rows, as Arrow columns in order of doc_id.
+
+    Features that ``train_classifier`` would drop as too rare or too common stay behind in Spark.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[int, int] = {zlib.crc32(term.encode()): n for term, n in lists.items()}
@@ -225,8 +228,24 @@ def voted(train: DataFrame, lists: dict[str, int]) -> pa.Table:
                 names=["doc_id", "toxic", "votes", "features"],
             )
 
-    rows = train.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, votes array<int>, features array<int>")
-    return rows.toArrow().sort_by("doc_id")
+    schema = "doc_id long, toxic int, votes array<int>, features array<int>"
+    rows = stored(train.select("doc_id", "toxic", "text").mapInArrow(run, schema), "votes")
+    listed = np.array([zlib.crc32(term.encode()) for term in lists], "u4").view("i4").tolist()
+    docs = rows.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    not_common = (F.col("n") <= COMMON * rows.count()) | F.col("feature").isin(listed)
+    kept = docs.where((F.col("n") >= LEAST_FEATURE_DOCS) & not_common).select("feature").toArrow()
+    known = np.sort(kept.column("feature").to_numpy())
+
+    def reduced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features = batch.column("features")
+            values, ends = features.flatten().to_numpy(), np.cumsum(pc.list_value_length(features).to_numpy())
+            used = np.isin(values, known)
+            cuts = np.concatenate([[0], np.cumsum(used)])[np.concatenate([[0], ends])].astype("i4")
+            lists = pa.ListArray.from_arrays(cuts, values[used])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=batch.schema.names)
+
+    return rows.mapInArrow(reduced, schema).toArrow().sort_by("doc_id")
 
 
 def fit(train: DataFrame) -> Classifier | None:
