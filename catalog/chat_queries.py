@@ -431,6 +431,24 @@ def emoji_counts(spark, sf):
     return pl.emoji_counts(fx.messages(spark, sf))
 
 
+_SEQUENCES = ["\U0001F1EE\U0001F1F3", "\U0001F468\u200d\U0001F469\u200d\U0001F467", "\U0001F44D\U0001F3FD", "1\ufe0f\u20e3", "\u2764\ufe0f\u200d\U0001F525", "x"]
+_WITH_SEQUENCES = f"""seq AS (SELECT * REPLACE (message || ([{", ".join(map(quote, _SEQUENCES))}])[(event_id % 6)::INT + 1] AS message)
+  FROM msgs)"""
+
+
+@register(
+    "emoji_sequences",
+    f"""WITH {MSGS}, {_WITH_SEQUENCES},
+{_EMOJI_COUNTED.replace(quote(tx.EMOJI), quote(tx.EMOJI_SEQUENCE)).replace("FROM msgs", "FROM seq")}
+SELECT * FROM ranked""",
+)
+def emoji_sequences(spark, sf):
+    """Emoji as they are seen, on messages with flags, families, skin tones and keycaps."""
+    added = F.get(F.array(*map(F.lit, _SEQUENCES)), (F.col("event_id") % 6).cast("int"))
+    messages = fx.messages(spark, sf).withColumn("message", F.concat("message", added))
+    return pl.emoji_counts(messages, sequences=True)
+
+
 @register(
     "emoji_share",
     f"""WITH {MSGS}, {_EMOJI_COUNTED} SELECT *,

@@ -11,8 +11,8 @@ from parley.schema import AI_RESULTS, MESSAGES, with_chat_type
 
 from . import action_queries as aq
 from . import fixtures as fx
-from .chat_queries import ORACLES, QUERIES, _flat, register
-from .fixtures import quote
+from .chat_queries import CANDS, ORACLES, QUERIES, _flat, register
+from .fixtures import MSGS, quote
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -61,6 +61,49 @@ def ai_results_csv_split(spark, sf):
     return pl.read_results_csv_split(spark, path, schema)
 
 
+@register("stop_words_file", ORACLES["stop_words"])
+def stop_words_file(spark, sf):
+    """A word list read from a text file: the lines of all documents."""
+    path = fx.scratch_dir(spark)
+    lines = fx.table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    lines.write.text(path)
+    return pl.read_stop_words(spark, path)
+
+
+# --- extraction by a caller's function -------------------------------------------------------------
+
+
+@register(
+    "analyze_chat_extractor",
+    f"""WITH {MSGS}, {CANDS}
+SELECT chat_id, message_id, date, "user", message, CASE WHEN message_id % 3 = 0 THEN 'none' ELSE 'task' END AS type,
+  CASE WHEN message_id % 3 <> 0 THEN message END AS task, 'low' AS priority, 0.5::DOUBLE AS confidence,
+  message_id % 3 <> 0 AS is_important, CASE WHEN message_id % 3 <> 0 THEN message END AS evidence
+FROM cands""",
+)
+def analyze_chat_extractor(spark, sf):
+    """The whole analysis with a model in place of the rules; every third answer quotes what nobody wrote."""
+
+    def extractor(batch):
+        return [
+            {
+                "message_id": item["message_id"],
+                "is_important": True,
+                "type": "task",
+                "task": item["context"]["current"]["message"],
+                "priority": "low",
+                "confidence": 0.5,
+                "evidence": "nobody wrote this" if item["message_id"] % 3 == 0 else item["context"]["current"]["message"],
+            }
+            for item in batch
+        ]
+
+    found = pl.analyze_chat(fx.messages(spark, sf), extractor=extractor)
+    return found.select(
+        "chat_id", "message_id", "date", "user", "message", "type", "task", "priority", "confidence", "is_important", "evidence"
+    )
+
+
 # --- stored layouts -----------------------------------------------------------------------------
 
 

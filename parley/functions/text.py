@@ -59,6 +59,15 @@ def _hex_class(ranges: str) -> str:
 
 
 EMOJI = f"[{_hex_class(EMOJI_RANGES)}]"
+# --- fixed values: parts of emoji sequences -------------------------------------------------
+FLAG = r"[\x{1F1E6}-\x{1F1FF}]{2}"
+KEYCAP = r"[0-9#*]\x{FE0F}?\x{20E3}"
+# a variation selector, a skin tone, or the tags of a subdivision flag
+MODIFIERS = r"\x{FE0F}?[\x{1F3FB}-\x{1F3FF}]?(?:[\x{E0020}-\x{E007E}]+\x{E007F})?"
+JOINER = r"\x{200D}"
+# ----------------------------------------------------------------------------------------
+# An emoji as it is seen: two regional indicators, a keycap, or emoji with their modifiers, joined or alone.
+EMOJI_SEQUENCE = rf"{FLAG}|{KEYCAP}|{EMOJI}{MODIFIERS}(?:{JOINER}{EMOJI}{MODIFIERS}){{0,9}}"
 # A link is a full URL or a bare host with a known ending, in any case. Mail addresses are matched
 # as well, so that their hosts are not, and left out afterwards. Repeats are possessive or bounded, so that long
 # words and long chains of labels cost no more than others.
@@ -144,9 +153,9 @@ def link_count(col: Column, endings: list[str] | None = None) -> Column:
     return F.size(links(col, endings))
 
 
-def emojis(col: Column) -> Column:
-    """Emoji of a text, one element per code point (sequences come apart)."""
-    return F.regexp_extract_all(col, F.lit(EMOJI), F.lit(0))
+def emojis(col: Column, sequences: bool = False) -> Column:
+    """Emoji of a text: one element per code point, where sequences come apart, or per sequence as it is seen."""
+    return F.regexp_extract_all(col, F.lit(EMOJI_SEQUENCE if sequences else EMOJI), F.lit(0))
 
 
 def is_media(col: Column) -> Column:

@@ -122,12 +122,15 @@ def clean_corpus(
     return typed.join(texts, key, "left").withColumn("clean_text", F.coalesce("clean_text", F.lit("")))
 
 
-def emoji_counts(messages: DataFrame, user: str | None = None) -> DataFrame:
-    """Emoji of each chat by frequency; equal counts in order of first use."""
+def emoji_counts(messages: DataFrame, user: str | None = None, sequences: bool = False) -> DataFrame:
+    """Emoji of each chat by frequency; equal counts in order of first use.
+
+    Counts code points, or with `sequences` flags, keycaps, skin tones and joined emoji as they are seen.
+    """
     counted = (
         filter_user(messages, user)
         .select(
-            "chat_id", "message_id", F.posexplode(tx.emojis(F.col("message"))).alias("pos", "emoji")
+            "chat_id", "message_id", F.posexplode(tx.emojis(F.col("message"), sequences)).alias("pos", "emoji")
         )
         .groupBy("chat_id", "emoji")
         .agg(F.count(F.lit(1)).alias("n"), _first_use().alias("first_use"))
@@ -136,8 +139,10 @@ def emoji_counts(messages: DataFrame, user: str | None = None) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(best)).drop("first_use")
 
 
-def emoji_share(messages: DataFrame, user: str | None = None, top: int = 5) -> DataFrame:
+def emoji_share(
+    messages: DataFrame, user: str | None = None, top: int = 5, sequences: bool = False
+) -> DataFrame:
     """Share of the `top` emoji among themselves, in percent with one decimal."""
-    leading = emoji_counts(messages, user).where(F.col("rank") <= top)
+    leading = emoji_counts(messages, user, sequences).where(F.col("rank") <= top)
     total = F.sum("n").over(Window.partitionBy("chat_id"))
     return leading.withColumn("percent", F.round(F.lit(100.0) * F.col("n") / total, 1))

@@ -75,6 +75,15 @@ def test_emoji_by_code_point(spark):
     assert evaluate(column(spark, texts), tx.emojis(F.col("v"))) == expected
 
 
+def test_emoji_by_sequence(spark):
+    family, flag, tone = "\U0001F468\u200d\U0001F469\u200d\U0001F467", "\U0001F1EE\U0001F1F3", "\U0001F44D\U0001F3FD"
+    wales = "\U0001F3F4\U000E0067\U000E0062\U000E0077\U000E006C\U000E0073\U000E007F"
+    heart, key, both = "\u2764\ufe0f", "#\ufe0f\u20e3", "\U0001F469\U0001F3FD\u200d\U0001F4BB"
+    texts = [family + flag + flag, "a" + tone + "b" + heart, key + "1", wales, both + " \U0001F3FD", "\U0001F1EE x", heart + "\u200d\U0001F525", "", None]
+    expected = [[family, flag, flag], [tone, heart], [key], [wales], [both, "\U0001F3FD"], [], [heart + "\u200d\U0001F525"], [], None]
+    assert evaluate(column(spark, texts), tx.emojis(F.col("v"), sequences=True)) == expected
+
+
 def test_links(spark):
     texts = ["see https://a.io/x?y=1 and www.b.c", "mail.example.com/x ok", "e.g. this. No link", "1.5"]
     assert evaluate(column(spark, texts), tx.link_count(F.col("v"))) == [2, 1, 0, 0]
