@@ -124,10 +124,12 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat.reshape(-1, WINDOW), owner, np.minimum(WINDOW, sizes[owner] - place * WINDOW)
 
 
+#: Parts of a language's rows that are cut down to the sample's size side by side.
+PARTS = 64
+
+
 def sample(labelled: DataFrame, per_language: int, pieces: int) -> DataFrame:
     """(lang, piece): a bounded number of hashed pieces of labelled texts per language."""
-    hashed = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
-    chosen = labelled.withColumn("_n", F.row_number().over(hashed)).where(F.col("_n") <= per_language)
     places = [
         F.substring(
             "text",
@@ -137,7 +139,12 @@ def sample(labelled: DataFrame, per_language: int, pieces: int) -> DataFrame:
         )
         for k in range(pieces)
     ]
-    return chosen.select("lang", F.explode(F.array(*places)).alias("piece"))
+    cuts = labelled.select("lang", F.xxhash64("doc_id", "text").alias("hash"), F.array(*places).alias("pieces"))
+    # the first of each part of a language, then of the language: no task sees all rows of one
+    for by in (["lang", F.pmod("hash", F.lit(PARTS))], ["lang"]):
+        first = Window.partitionBy(*by).orderBy("hash")
+        cuts = cuts.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).drop("n")
+    return cuts.select("lang", F.explode("pieces").alias("piece"))
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNetwork | None:
