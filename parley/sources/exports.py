@@ -24,7 +24,7 @@ from ..functions import text as tx
 from ..functions import timestamps as ts
 from ..operators.numbering import slice_starts
 from ..schema import GROUP_NOTIFICATION, MESSAGES
-from ..storage import store_by
+from ..storage import deal_by, store_by
 
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
 
@@ -100,7 +100,8 @@ def parse_pieces(pieces: DataFrame, pivot_year: int | None = None) -> DataFrame:
     The pieces are read once: segments are made by split and stored in buckets, and what crosses splits
     (counts, and text ahead of a split's first header) comes out of that table.
     """
-    local = store_by(segments(pieces, pivot_year), ["chat_id", "split"], ["chat_id", "split", "g"])
+    keys = ["chat_id", "split"]
+    local = store_by(segments(deal_by(pieces, keys), pivot_year), keys, [*keys, "g"], dealt=True)
     placed = _placed(local)
 
     # joined where the text already lies, so each text is shuffled once
@@ -130,21 +131,20 @@ def segments(pieces: DataFrame, pivot_year: int | None = None) -> DataFrame:
     ends = ts.STAMP + rf"[{tx.WS}]*\z"
     in_split = Window.partitionBy("chat_id", "split").orderBy("pos")
     ahead = in_split.rowsBetween(Window.unboundedPreceding, -1)
-    of_split = Window.partitionBy("chat_id", "split")
     cut = pieces.withColumn("tail", _first_match(ends, F.col("piece"))).select(
         "chat_id",
         "split",
         "pos",
         "open_end",
         "size",
-        F.sum(F.octet_length("piece")).over(of_split).alias("bytes"),
+        F.octet_length("piece").cast("bigint").alias("bytes"),
         F.expr("left(piece, length(piece) - length(tail))").alias("body"),
         F.expr(ts.stamp_to_date("tail", pivot_year)).alias("date"),
         F.nullif(F.col("tail"), F.lit("")).alias("tail"),
-        F.lead(F.lit(1)).over(in_split).isNull().alias("is_last"),
     )
     numbered = cut.select(
         "*",
+        F.lead(F.lit(1)).over(in_split).isNull().alias("is_last"),
         F.count("tail").over(ahead).alias("g"),
         F.count("date").over(ahead).alias("v"),
     )
@@ -157,6 +157,7 @@ def segments(pieces: DataFrame, pivot_year: int | None = None) -> DataFrame:
         nothing.cast("timestamp_ntz").alias("date"),
         nothing.cast("bigint").alias("nth"),
         nothing.cast("string").alias("doubt"),
+        F.col("bytes"),
     )
     opened = F.when(
         F.col("tail").isNotNull(),
@@ -166,16 +167,18 @@ def segments(pieces: DataFrame, pivot_year: int | None = None) -> DataFrame:
             F.col("date"),
             (F.col("v") + 1).alias("nth"),
             F.when(F.col("is_last"), F.col("tail")).alias("doubt"),
+            F.lit(0).cast("bigint").alias("bytes"),
         ),
     )
     return (
         numbered.select(
-            "chat_id", "split", "open_end", "bytes", "size", F.inline(F.array_compact(F.array(continued, opened)))
+            "chat_id", "split", "open_end", "size", F.inline(F.array_compact(F.array(continued, opened)))
         )
         .groupBy("chat_id", "split", "g")
         .agg(
             F.array_sort(F.collect_list("part")).alias("parts"),
-            *[F.max(c).alias(c) for c in ("date", "nth", "doubt", "open_end", "bytes", "size")],
+            *[F.max(c).alias(c) for c in ("date", "nth", "doubt", "open_end", "size")],
+            F.sum("bytes").alias("bytes"),
         )
         .withColumn("text", F.array_join(F.transform("parts", lambda p: p.body), ""))
         .withColumn("nth", F.when(F.col("date").isNotNull(), F.col("nth")))
@@ -199,7 +202,8 @@ def _placed(local: DataFrame) -> DataFrame:
         F.coalesce(F.max("nth"), F.lit(0)).alias("v"),
         F.max("doubt").alias("doubt"),
         F.max(F.col("doubt").isNotNull() & F.col("date").isNotNull()).alias("doubt_dated"),
-        *[F.max(c).alias(c) for c in ("open_end", "bytes", "size")],
+        F.sum("bytes").alias("bytes"),
+        *[F.max(c).alias(c) for c in ("open_end", "size")],
     )
     ghost = F.col("doubt").isNotNull() & F.coalesce("open_end", by_bytes)
     splits = counted.withColumn("ghost", ghost).select(

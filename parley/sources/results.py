@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..operators.numbering import slice_starts
 from ..schema import AI_RESULTS
-from ..storage import store_by
+from ..storage import deal_by, store_by
 
 # Quotes doubled inside quoted fields; an empty field is null, as spreadsheets write it.
 _FORMAT = {"header": True, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": ""}
@@ -55,11 +55,12 @@ def csv_records(lines: DataFrame) -> DataFrame:
     of_split = Window.partitionBy("file", "split")
     ahead = of_split.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     odd = (F.coalesce(F.sum(quotes).over(ahead), F.lit(0)) % 2).cast("int")
-    counted = lines.select(
+    keys = ["file", "split"]
+    counted = deal_by(lines, keys).select(
         "file", "split", "pos", "value", F.col("value").endswith("\r").alias("cr"),
         quotes.cast("bigint").alias("quotes"), odd.alias("odd"),
     )
-    local = store_by(counted, ["file", "split"], ["file", "split", "pos"])
+    local = store_by(counted, keys, [*keys, "pos"], dealt=True)
 
     def either(value: Column) -> Column:
         """A value of the lines that open records where the split starts outside (0) or inside (1) quotes."""

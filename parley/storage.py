@@ -33,21 +33,39 @@ def materialize(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def deal_by(rows: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Rows dealt out over tasks by some columns as ``store_by`` deals them into buckets.
+
+    Windows and aggregations by these columns then need no further exchange, and neither does storing their result.
+    """
+    return rows.repartition(buckets or bucket_count(rows.sparkSession), *keys)
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of a stored table: the session's number of shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def store_by(
-    rows: DataFrame, keys: list[str], order: list[str], path: str | None = None, buckets: int | None = None
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
+    path: str | None = None,
+    buckets: int | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Write a table in buckets by some columns, each sorted, and read it back as such.
 
-    Joins and aggregations by exactly these columns then need no exchange on its side. The number of
-    buckets is that of the session's shuffle partitions unless given; ``open_by`` reads the folder again.
+    Joins and aggregations by exactly these columns then need no exchange on its side. ``dealt`` tells that the
+    rows come from ``deal_by`` with the same columns and buckets; ``open_by`` reads the folder again.
     """
     spark = rows.sparkSession
     path = path or f"{shared_dir(spark).rstrip('/')}/buckets-{uuid.uuid4().hex}"
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or bucket_count(spark)
     name = f"stored_{uuid.uuid4().hex}"
     # dealt out like the buckets, so that every task writes its own bucket as one file
-    dealt = rows.repartition(buckets, *keys)
-    dealt.write.format("parquet").bucketBy(buckets, *keys).sortBy(*order).option("path", path).saveAsTable(name)
+    parts = rows if dealt else deal_by(rows, keys, buckets)
+    parts.write.format("parquet").bucketBy(buckets, *keys).sortBy(*order).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
