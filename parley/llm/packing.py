@@ -3,7 +3,8 @@
 Each sequence is one piece of one document, so no sequence crosses documents and none is padded.
 A document of n ids gives n // 2048 pieces of 2048 and one piece for each binary digit of the
 rest, longest first. Buckets are folders ``length=2048`` to ``length=1`` of the written table, so a
-trainer reads batches of equal length. No row is shuffled: pieces are made where texts are read.
+trainer reads batches of equal length. No row is shuffled: pieces are made where texts are read, and numbered
+where they are read back.
 
 Null text counts as empty and gives one piece that holds the end id only; repeated rows are packed
 as often as they occur; a null doc_id is carried along; an empty table gives no rows.
@@ -63,7 +64,8 @@ def write_sequences(rows: DataFrame, path: str) -> DataFrame:
     """Write pieces into a folder per length and number them as sequences.
 
     Sequences are numbered without gaps, longer ones first, by written file and place in it; only
-    counts by file are summed over.
+    counts by file are summed over. They go to the rows as a broadcast, one line a file, so that no ids are shuffled
+    or sorted to meet them.
     """
     rows.write.partitionBy("length").option("compression", "zstd").parquet(path)
     written = (
@@ -82,7 +84,7 @@ def write_sequences(rows: DataFrame, path: str) -> DataFrame:
     bases = counts.select(
         "length", "file", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")
     )
-    return written.join(bases, ["length", "file"]).select(
+    return written.join(F.broadcast(bases), ["length", "file"]).select(
         "doc_id",
         "start",
         F.col("length").cast("long"),

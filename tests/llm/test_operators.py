@@ -26,7 +26,7 @@ from parley.llm import (
     token_files,
     toxicity,
 )
-from parley.llm.shared import ids_crc32, shared_folder
+from parley.llm.shared import crc32_in_place_of, ids_crc32, shared_folder
 from parley.llm.tokens import WordEncoder
 
 LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(9000))
@@ -86,6 +86,20 @@ def test_packing_is_a_round_trip(docs, nothing):
     assert packing.pack(nothing, queries.TOKENIZER, 1).count() == 0
 
 
+def test_packed_ids_are_not_shuffled_to_be_numbered(spark, docs):
+    packed = packing.pack(docs, queries.TOKENIZER, 1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = crc32_in_place_of(packed, "ids")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and "EvalPython" not in plan
+    summed = rows(crc32_in_place_of(packed, "ids").orderBy("sequence_id"))
+    want = rows(packed.withColumn("ids_crc32", ids_crc32("ids")).drop("ids").orderBy("sequence_id"))
+    assert summed == want and len(want) > len(TEXTS)
+
+
 def test_token_files(spark, docs, nothing):
     path = shared_folder(spark, "t")
     token_files.write_tokens(docs, path, queries.TOKENIZER, 2)
