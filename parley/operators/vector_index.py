@@ -4,8 +4,8 @@ Rows are assigned to the nearest of some pivots and stored by cluster. Each cell
 rows, its radius around the pivot and the least and largest length of its vectors. From these, the inner
 product of a question with any row of a cell lies between two bounds: by the triangle inequality on
 distances, and by |q . x - q . p| <= |q| |x - p|. Cells with high lower bounds that hold k rows together give a
-score that the k-th best row reaches at least; cells whose upper bound lies below it are not read, and rows are bounded
-the same way by their own distance to the pivot before their product is computed. Results equal a full scan.
+score that the k-th best row reaches at least; cells whose upper bound lies below it are not read. What is read meets the questions
+block by block in matrix products. Results equal a full scan.
 
 Questions are a table. They meet the cells in groups through an equi-join, which Spark broadcasts or shuffles by
 its size, so their number is not limited by memory.
@@ -14,12 +14,16 @@ its size, so their number is not limited by memory.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import vectors as vec
@@ -30,6 +34,8 @@ MOST_CLUSTERS = 1024
 #: Pivots are fitted to a bounded sample of distinct vectors, those of the smallest hashes.
 SAMPLE, MOST_SAMPLED, ROUNDS = 32, 1 << 14, 5
 QUESTIONS_AT_ONCE = 64
+#: Rows of a cell and questions that meet as one pair.
+BLOCK, QUESTIONS_IN_GROUP = 1 << 13, 1 << 9
 #: What rounding of sums in double precision may add to a bound.
 SLACK = 1e-9
 
@@ -162,28 +168,89 @@ def bounds(index: ClusteredIndex, questions: DataFrame, k: int, key: str = "ques
     )
 
 
+def _block_best(batch: pa.RecordBatch, i: int, vector: str, k: int, tie: str):
+    """(question places, row places, scores) of pair i: the k best rows of its block for each of its questions.
+
+    A matrix product, rounded otherwise than ``vec.dot``, only tells which rows may be among the k best. Their scores are then
+    summed component by component as ``vec.dot`` sums them. NaN comes first and null last, as Spark orders scores.
+    """
+    rows, asked = batch.column("rows")[i].values, batch.column("asked")[i].values
+    places = pc.sort_indices(rows.field(tie), null_placement="at_start").to_numpy()
+    lists, questions = rows.field(vector).take(pa.array(places)), asked.field("q")
+    flat, flat_q = lists.flatten(), questions.flatten()
+    x = flat.to_numpy(False).astype("f8").reshape(len(lists), -1)
+    q = flat_q.to_numpy(False).astype("f8").reshape(len(questions), -1)
+    null_x = flat.is_null().to_numpy(False).reshape(x.shape).any(1)
+    null_q = flat_q.is_null().to_numpy(False).reshape(q.shape).any(1)
+    # of equal vectors only the first k by tie can be wanted
+    if len(x) > k and x.shape[1]:
+        _, same = np.unique(np.ascontiguousarray(x).view(f"V{8 * x.shape[1]}").ravel(), return_inverse=True)
+        order = np.lexsort((np.arange(len(x)), null_x, same))
+        group = same[order] * 2 + null_x[order]
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        nth = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+        kept = np.sort(order[nth < k])
+        x, null_x, places = x[kept], null_x[kept], places[kept]
+    if np.isfinite(x).all() and np.isfinite(q).all():
+        near = q @ x.T
+        gap = SLACK + 1e-12 * np.abs(q).sum(1) * (np.abs(x).max() if x.size else 0.0)
+        least = asked.field("floor").to_numpy(False) - gap
+        if len(x) > k:
+            least = np.maximum(least, np.partition(near, len(x) - k, axis=1)[:, len(x) - k] - gap)
+        one, row = np.nonzero(near >= least[:, None])
+    else:
+        one, row = (each.ravel() for each in np.indices((len(q), len(x))))
+    scores = np.zeros(len(one))
+    for d in range(x.shape[1]):
+        scores += q[one, d] * x[row, d]
+    kind = np.where(null_q[one] | null_x[row], 2, np.where(np.isnan(scores), 0, 1))
+    order = np.lexsort((row, np.where(kind == 1, -scores, 0.0), kind, one))
+    one, row, scores, kind = one[order], row[order], scores[order], kind[order]
+    starts = np.flatnonzero(np.diff(one, prepend=-1))
+    nth = np.arange(len(one)) - np.repeat(starts, np.diff(np.append(starts, len(one))))
+    first = nth < k
+    return one[first], places[row[first]], pa.array(scores[first], mask=kind[first] == 2)
+
+
 def nearest_each(
     index: ClusteredIndex, questions: DataFrame, k: int, tie: str, key: str = "question_id"
 ) -> DataFrame:
     """The k rows of each chat nearest to each question (key, vector), exact.
 
-    Adds the key, `semantic_score` and `semantic_rank` to the rows of the index.
+    Adds the key, `semantic_score` and `semantic_rank` to the rows of the index. Rows of a cell are dealt into blocks, questions
+    into groups; each group meets the blocks of the cells that one of its questions wants, a pair at a time, and the best
+    rows of each pair are ranked. So a row is not copied for each question, and a question only for each block.
     """
-    wanted = bounds(index, questions, k, key).where("wanted").select(
-        key, index.by, "cluster", "q", "length", "product", "to_q", "floor"
-    )
     columns = [c for c in index.rows.columns if c not in ("cluster", "to_pivot", "length")]
-    rows = index.rows.withColumnRenamed("length", "_size")
-    _, upper = _reach(
-        F.abs(F.col("to_q") - F.col("to_pivot")), F.col("to_q") + F.col("to_pivot"), F.col("length"),
-        F.col("_size"), F.col("_size"), F.col("product"), F.col("to_pivot"),
+    cell, by, vector = [index.by, "cluster"], index.by, index.vector
+    wanted = bounds(index, questions, k, key).where("wanted").select(key, *cell, "n", "q", "floor")
+    parts = F.ceil(F.col("n") / BLOCK).cast("long")
+    groups = questions.count() // QUESTIONS_IN_GROUP + 1
+    live = wanted.groupBy(*cell).agg(F.max(parts).alias("_parts"))
+    dealt = index.rows.join(live, cell).withColumn("_block", F.pmod(F.xxhash64(tie, vector), F.col("_parts")))
+    blocks = dealt.groupBy(*cell, "_block").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    asked = (
+        wanted.groupBy(*cell, F.pmod(F.xxhash64(key), F.lit(groups)).alias("_group"))
+        .agg(F.collect_list(F.struct(key, "q", "floor")).alias("asked"), F.max(parts).alias("_parts"))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
     )
-    best = Window.partitionBy(key, index.by).orderBy(F.desc("semantic_score"), tie)
+    pairs = asked.join(blocks, [*cell, "_block"]).select("asked", "rows")
+    kept = index.rows.select(*columns).schema.fields
+    out = T.StructType([T.StructField(key, questions.schema[key].dataType), *kept, T.StructField("semantic_score", T.DoubleType())])
+
+    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, row, scores = _block_best(batch, i, vector, k, tie)
+                keys = batch.column("asked")[i].values.field(key).take(pa.array(one))
+                found = batch.column("rows")[i].values.take(pa.array(row))
+                arrays = [keys, *(found.field(c) for c in columns), scores]
+                yield pa.RecordBatch.from_arrays(arrays, names=out.fieldNames())
+
+    first = Window.partitionBy(key, by).orderBy(F.desc("semantic_score"), tie)
     return (
-        rows.join(wanted, [index.by, "cluster"])
-        .where(upper >= F.col("floor"))
-        .withColumn("semantic_score", vec.dot(F.col(index.vector), F.col("q")))
-        .withColumn("semantic_rank", F.row_number().over(best))
+        pairs.mapInArrow(best, out)
+        .withColumn("semantic_rank", F.row_number().over(first))
         .where(F.col("semantic_rank") <= k)
         .select(key, *columns, "semantic_score", "semantic_rank")
     )

@@ -77,6 +77,28 @@ def test_nearest_each_is_exact(spark, clustered):
     assert share < (0.4 if clustered else 1.01)
 
 
+def test_rows_are_not_copied_for_each_question(spark, monkeypatch):
+    """Many questions on few cells: pairs of blocks and groups go through the join, not of rows and questions."""
+    monkeypatch.setattr(vi, "BLOCK", 64)
+    monkeypatch.setattr(vi, "QUESTIONS_IN_GROUP", 32)
+    rng = np.random.default_rng(5)
+    vectors = np.float32(rng.normal(size=(1500, 12)))
+    vectors[200:700] = vectors[7]
+    vectors[700:760] = 0
+    rows = [(i % 2, 9000 - i, v.tolist()) for i, v in enumerate(vectors)] + [(0, None, vectors[3].tolist())]
+    frame = spark.createDataFrame(rows, "chat_id int, message_id long, vector array<float>").repartition(3)
+    asked = [(f"q{i}", [float(x) for x in vectors[i]]) for i in range(0, 300, 2)]
+    questions = spark.createDataFrame(asked, "question_id string, vector array<double>")
+    index = vi.cluster_index(frame, clusters=4)
+    found = vi.nearest_each(index, questions, 6, "message_id")
+    got = {}
+    for r in found.orderBy("semantic_rank").collect():
+        got.setdefault((r.question_id, r.chat_id), []).append(-1 if r.message_id is None else r.message_id)
+    assert got == brute([(c, -1 if i is None else i, v) for c, i, v in rows], asked, 6)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "zip_with" not in text.split("MapInArrow")[0].lower()
+
+
 def test_empty_index_and_no_questions(spark):
     none = spark.createDataFrame([], "chat_id long, message_id long, vector array<float>")
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "question_id long, vector array<double>")
