@@ -3,10 +3,10 @@
 Words and word pairs are hashed into BUCKETS. Two multinomials with add-one smoothing are counted:
 one over all documents, one over trusted ones. A document's score is the mean, over its n-grams, of
 log(trusted / raw). It is kept if it passes the base rules and its score is at least the trusted
-sample's mean less DEVIATIONS standard deviations; one threshold holds for every document.
+documents' mean less DEVIATIONS standard deviations; one threshold holds for every document.
 
-The trusted sample is bounded by TARGET_ROWS labelled documents, those of the smallest hashes; its
-ids are broadcast, so texts are not shuffled. Corpus counts cover every document.
+All trusted documents are counted, and all set the threshold. Their ids grow with the corpus, so Spark chooses by size
+whether they are broadcast or meet the texts in a shuffle. Corpus counts cover every document.
 
 Null and blank texts have no words: they fail the base rules and score 0. Repeated rows are scored
 each; a null doc_id is carried along and is never trusted; without trusted rows the threshold is
@@ -28,7 +28,6 @@ from parley.llm.shared import bounded, stored
 from parley.llm.words import Words, split_words
 
 BUCKETS = 1 << 16
-TARGET_ROWS = 20_000
 DEVIATIONS = 4.0
 WHITE = " \t\n\r\x0b\x0c"
 SYMBOLS = "[#*$%&|<>]"
@@ -125,21 +124,14 @@ def measure(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 def apply_rules(
     docs: DataFrame,
     labels: DataFrame,
-    target_rows: int = TARGET_ROWS,
     deviations: float = DEVIATIONS,
 ) -> DataFrame:
     """Figures, score, base_failed and kept of every document.
 
     ``labels`` holds (doc_id, quality); 1 marks trusted documents. Counting runs at once.
     """
-    trusted = (
-        labels.where("quality = 1 AND doc_id IS NOT NULL")
-        .select("doc_id")
-        .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(target_rows)
-    )
-    trusted = F.broadcast(stored(trusted, "trusted"))
+    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    trusted = stored(trusted, "trusted")
     sample = docs.join(trusted, "doc_id", "left_semi")
     ratio = np.log(multinomial(sample)) - np.log(multinomial(docs))
     rows = stored(measure(docs, ratio), "scores")

@@ -285,6 +285,13 @@ def test_quality_figures(spark, docs, nothing):
     assert quality.apply_rules(docs, labels.limit(0)).count() == len(TEXTS) + 1
 
 
+def test_every_trusted_document_counts(spark):
+    """Where all documents are trusted, both counts are the same and every score is zero."""
+    docs = spark.range(20_400).selectExpr("id AS doc_id", "concat('w', id, ' of') AS text")
+    got = quality.apply_rules(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    assert got.selectExpr("max(abs(score)) AS score", "count(*) AS n").first() == (0.0, 20_400)
+
+
 def test_language_and_toxicity_on_the_tables(spark, sf, docs, nothing):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     joined = language.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").where("held_out")
