@@ -13,8 +13,9 @@ Base kinds are regular expressions with checks; their spans always stay. The met
 4. A fold kept from training sets a threshold for each kind, so that at most RATE of the
    kind's negative rows reach it. Candidates from there on are added; overlapping ones are one when redacted.
 
-Training rows are bounded: BASE_ROWS base spans and NATURAL_ROWS candidates of the smallest hashes. Candidates,
-features and scores cover all whole texts. With too few rows to train on, nothing is added.
+All base spans and all candidates of the corpus are training or held rows: trees are grown by Spark's tasks over
+ROWS_A_TASK rows each, and only sums of bins come to the driver. Candidates, features and scores cover all whole texts. With
+too few rows to train on, nothing is added.
 
 Null text has no spans; empty text neither. Repeated rows are scanned each and get equal spans; a null doc_id is carried
 along; extra columns are ignored by ``digest`` and kept by ``redact``. An empty table gives no rows. Patterns run in
@@ -67,7 +68,8 @@ CUES = (
     r"(?i)(?:card|karte|tarjeta|carte|visa|master|amex|credit|kredit|pay)",
     r"(?i)(?:\bip\b|host|server|address|adress|login|ssh|ping|from)",
 )
-BASE_ROWS, NATURAL_ROWS = 3_000, 20_000
+#: Rows that one task holds while the trees grow.
+ROWS_A_TASK = 50_000
 LEAST_ROWS = 20
 FOLDS = 4
 RATE = 0.005
@@ -320,8 +322,7 @@ def rewritten() -> Column:
 def planted(rows: DataFrame) -> DataFrame:
     """Candidates of the rewritten forms in the context of their base spans, with label 1 where they are the form."""
     spans = rows.where(F.size("base") > 0).select("row", F.inline("base"))
-    chosen = spans.orderBy(F.xxhash64("token", "before", "after"), "row", "start").limit(BASE_ROWS)
-    each = chosen.select("row", "start", "before", "after", F.inline(rewritten()))
+    each = spans.select("row", "start", "before", "after", F.inline(rewritten()))
     place, size = F.length("before"), F.length("form")
     texts = each.select(
         F.xxhash64("row", "start").alias("fold"),
@@ -338,13 +339,14 @@ def planted(rows: DataFrame) -> DataFrame:
 
 
 def training_rows(rows: DataFrame, natural: DataFrame) -> DataFrame:
-    """Stored bounded table (fold, kind, token, before, after, label, natural)."""
-    order = F.xxhash64("token", "before", "after")
-    negative = natural.orderBy(order, "row", "start").limit(NATURAL_ROWS).select(
+    """Stored table (fold, kind, token, before, after, label, natural) in files of about ROWS_A_TASK rows."""
+    negative = natural.select(
         F.xxhash64("row", "start").alias("fold"), "kind", "token", "before", "after",
         F.lit(0.0).alias("label"), F.lit(True).alias("natural"),
     )
-    return stored(planted(rows).unionByName(negative).repartition(1).sortWithinPartitions("fold", "kind", "token"), "training")
+    labelled = stored(planted(rows).unionByName(negative), "labelled", compression="zstd")
+    tasks = labelled.count() // ROWS_A_TASK + 1
+    return stored(labelled.repartition(tasks, "fold").sortWithinPartitions("fold", "kind", "token"), "training")
 
 
 def with_score(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:

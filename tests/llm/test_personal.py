@@ -161,3 +161,15 @@ def test_places_of_many_matches(spark, n):
     found = personal.occurrences(F.col("t"), personal.EMAIL, F.lit(True))
     (row,) = spark.createDataFrame([(text,)], "t string").select(found.alias("f")).collect()
     assert [(s.start, s.end) for s in row.f] == [m.span() for m in re.finditer(r"x@y\.z", text)]
+
+
+def test_every_span_and_candidate_is_a_training_row(spark):
+    docs = spark.range(3_300).selectExpr(
+        "id AS doc_id", "id AS row", "concat('write to ann', id, '@mail.example.com or see 12.', id % 9, ' ', repeat('555 01', 2)) AS text"
+    )
+    found = personal.located(docs)
+    natural = personal.outside_base(found)
+    train = personal.training_rows(found, natural)
+    # fold is a hash of the span's place, one for each base span and each candidate
+    assert train.where("NOT natural AND label = 1").select("fold").distinct().count() == 3_300
+    assert train.where("natural").count() == natural.count() >= 3_300
