@@ -1,7 +1,7 @@
 """Extraction of tasks, requests, deadlines and decisions from candidate batches.
 
 The extractor is pluggable: any Python function from a batch to result records runs in
-``mapInPandas`` next to the data. Without one, deterministic rules on the candidate's signals
+``mapInArrow`` next to the data, a few batches at a time. Without one, deterministic rules on the candidate's signals
 run as native columns.
 """
 
@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import json
 import logging
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +88,43 @@ def checked(result: dict) -> tuple:
     return tuple(values)
 
 
+#: Types of the extraction fields in Arrow.
+ARROW = {
+    T.BooleanType: pa.bool_(),
+    T.StringType: pa.string(),
+    T.LongType: pa.int64(),
+    T.IntegerType: pa.int32(),
+    T.DoubleType: pa.float64(),
+}
+#: Batches whose answers a task holds at once.
+BATCHES_AT_ONCE = 32
+
+
+def attempts(batches: Iterable[pa.RecordBatch], extractor: Extractor) -> Iterator[pa.RecordBatch]:
+    """Answers to batches (chat_id, batch_no, items), sent on after every BATCHES_AT_ONCE calls."""
+    log = logging.getLogger(__name__)
+    fields = [("error", pa.string()), ("pos", pa.int32())]
+    fields += [(f.name, ARROW[type(f.dataType)]) for f in EXTRACTION.fields]
+    unfilled = (None,) * (len(fields) - 1)
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCHES_AT_ONCE):
+            part, rows, owners = batch.slice(start, BATCHES_AT_ONCE), [], []
+            for i in range(part.num_rows):
+                try:
+                    results = list(extractor(json.loads(part.column("items")[i].as_py())))
+                    found = [(None, pos, *checked(r)) for pos, r in enumerate(results)]
+                except Exception as error:  # one bad batch must not stop the rest
+                    chat_id, batch_no = (part.column(c)[i].as_py() for c in ("chat_id", "batch_no"))
+                    log.warning("batch %s of chat %s failed: %s", batch_no, chat_id, error)
+                    found = [(str(error) or type(error).__name__, *unfilled)]
+                rows += found
+                owners += [i] * len(found)
+            owner = pa.array(owners, pa.int64())
+            arrays = [part.column(c).take(owner) for c in ("chat_id", "batch_no")]
+            arrays += [pa.array([r[j] for r in rows], kind) for j, (_, kind) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["chat_id", "batch_no", *(name for name, _ in fields)])
+
+
 def attempt_batches(
     batches: DataFrame, extractor: Extractor, parallelism: int | None = None
 ) -> DataFrame:
@@ -97,7 +134,7 @@ def attempt_batches(
     dicts with the extraction fields. A batch whose call fails, that lacks a required field or has
     one of another type gives one row with the error and nothing else; the others go on. Calls wait
     on the model, not on bytes, so batches are dealt over ``parallelism`` tasks (the number of
-    shuffle partitions by default), which adaptive execution does not merge. Store the result to
+    shuffle partitions by default), which adaptive execution does not merge. A task holds the answers of a few batches only. Store the result to
     use both ``answers`` and ``extract_failures`` of it, or the batches are sent twice.
     """
     chat_type = batches.schema["chat_id"].dataType
@@ -110,29 +147,10 @@ def attempt_batches(
             *EXTRACTION.fields,
         ]
     )
-    names = schema.fieldNames()
-    unfilled = [None] * (len(names) - 3)
-
-    def run(frames):
-        log = logging.getLogger(__name__)
-        for frame in frames:
-            rows = []
-            for chat_id, batch_no, payload in frame.itertuples(index=False):
-                try:
-                    results = list(extractor(json.loads(payload)))
-                    rows += [
-                        (chat_id, batch_no, None, pos, *checked(r))
-                        for pos, r in enumerate(results)
-                    ]
-                except Exception as error:  # one bad batch must not stop the rest
-                    log.warning("batch %s of chat %s failed: %s", batch_no, chat_id, error)
-                    rows.append((chat_id, batch_no, str(error) or type(error).__name__, *unfilled))
-            yield pd.DataFrame(rows, columns=names, dtype=object)
-
     payload = F.to_json("items").alias("items")
     tasks = parallelism or int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = batches.select("chat_id", "batch_no", payload)
-    return dealt.repartition(tasks, "chat_id", "batch_no").mapInPandas(run, schema)
+    return dealt.repartition(tasks, "chat_id", "batch_no").mapInArrow(lambda parts: attempts(parts, extractor), schema)
 
 
 def answers(attempts: DataFrame) -> DataFrame:

@@ -268,3 +268,28 @@ def test_a_cluster_must_name_its_shared_folder():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
     with pytest.raises(ValueError):
         storage.shared_dir(session)
+
+
+def test_answers_leave_the_task_before_all_batches_are_sent():
+    import pyarrow as pa
+
+    from parley.operators import extract as ex
+
+    sent = []
+
+    def extractor(batch):
+        sent.append(batch[0]["message_id"])
+        if sent[-1] == 3:
+            raise RuntimeError("model unavailable")
+        yield {"message_id": sent[-1], "is_important": True, "type": "task", "priority": "low", "confidence": 1}
+
+    payload = [f'[{{"message_id": {i}}}]' for i in range(1000)]
+    whole = pa.table({"chat_id": [None, "b"] * 500, "batch_no": range(1000), "items": payload}).to_batches()
+    parts = ex.attempts(iter(whole), extractor)
+    first = next(parts)
+    assert len(sent) == ex.BATCHES_AT_ONCE == first.num_rows
+    rows = first.to_pylist() + [r for p in parts for r in p.to_pylist()]
+    assert len(sent) == len(rows) == 1000
+    assert [r["chat_id"] for r in rows] == [None, "b"] * 500
+    assert [(i, r["error"]) for i, r in enumerate(rows) if r["error"]] == [(3, "model unavailable")]
+    assert [r["message_id"] for r in rows[:5]] == [0, 1, 2, None, 4]
