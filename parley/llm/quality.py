@@ -5,8 +5,9 @@ one over all documents, one over trusted ones. A document's score is the mean, o
 log(trusted / raw). It is kept if it passes the base rules and its score is at least the trusted
 documents' mean less DEVIATIONS standard deviations; one threshold holds for every document.
 
-All trusted documents are counted, and all set the threshold. Their ids grow with the corpus, so Spark chooses by size
-whether they are broadcast or meet the texts in a shuffle. Corpus counts cover every document.
+All trusted documents are counted, and all set the threshold. Their ids grow with the corpus, so they are not broadcast,
+and no text is shuffled for them: each document sends its sorted bucket numbers, a byte or two each, to a merge join at every
+size. One pass gives both counts. Corpus counts cover every document.
 
 Null and blank texts have no words: they fail the base rules and score 0. Repeated rows are scored
 each; a null doc_id is carried along and is never trusted; without trusted rows the threshold is
@@ -24,10 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.shared import bounded, stored
+from parley.llm.shared import BATCH_BYTES, bounded, stored
 from parley.llm.words import Words, split_words
 
 BUCKETS = 1 << 16
+#: Bytes of text, or of packed grams, that a task sorts or unpacks at once.
+PACKED_BYTES = BATCH_BYTES // 4
 DEVIATIONS = 4.0
 WHITE = " \t\n\r\x0b\x0c"
 SYMBOLS = "[#*$%&|<>]"
@@ -46,30 +49,86 @@ def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(bucket, n) over all documents; each task sends its own sums."""
+def packed(text: np.ndarray, bucket: np.ndarray, texts: int) -> pa.Array:
+    """Sorted buckets of each text as binary: differences of seven bits a byte, the last byte below 128."""
+    key = np.sort(text * BUCKETS + bucket)
+    first = np.flatnonzero(np.diff(key // BUCKETS, prepend=-1))
+    step = np.diff(key, prepend=0)
+    step[first] = key[first] % BUCKETS
+    two, three = step >> 7 > 0, step >> 14 > 0
+    ends = np.cumsum(1 + two + three)
+    data = np.empty(ends[-1] if len(ends) else 0, "u1")
+    data[ends - 1] = step & 127
+    data[ends[two] - 2] = step[two] >> 7 & 127 | 128
+    data[ends[three] - 3] = step[three] >> 14 | 128
+    grams_before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=texts))])
+    bounds = np.concatenate([[0], ends])[grams_before].astype("i4")
+    return pa.Array.from_buffers(pa.binary(), texts, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+
+
+def unpacked(grams: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all texts in a row, and how many each text has."""
+    data = np.frombuffer(b"".join(grams.to_pylist()), "u1")
+    last = np.flatnonzero(data < 128)
+    step = data[last].astype("u4")
+    more = np.flatnonzero(data[last - 1] > 127)
+    step[more] |= (data[last[more] - 1] & 127).astype("u4") << 7
+    more = more[data[last[more] - 2] > 127]
+    step[more] |= (data[last[more] - 2] & 127).astype("u4") << 14
+    ends = np.searchsorted(last, np.cumsum(pc.binary_length(grams).to_numpy(False).astype("i8")))
+    n = np.diff(ends, prepend=0)
+    sums = np.concatenate([np.zeros(1, "u4"), np.cumsum(step, dtype="u4")])
+    return sums[1:] - np.repeat(sums[ends - n], n), n
+
+
+def pack_grams(docs: DataFrame) -> DataFrame:
+    """(doc_id, spread, grams) of every document; spread tells rows without doc_id apart, so that no task gets them all."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in bounded(batches, "text", PACKED_BYTES):
+            ids, rows = batch.column("doc_id"), np.arange(seen, seen := seen + batch.num_rows)
+            spread = np.where(ids.is_null().to_numpy(False), rows, 0)
+            held = packed(*grams(split_words(batch.column("text"))), len(rows))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(spread), held], ["doc_id", "spread", "grams"])
+
+    texts = docs.select("doc_id", F.col("text").cast("string"))
+    extra = F.lit(0).cast("long").alias("spread"), F.lit("").cast("binary").alias("grams")
+    return texts.mapInArrow(pack, texts.select("doc_id", *extra).schema)
+
+
+def count_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(bucket, n, n_trusted) over all documents and the trusted ones; each task sends its own sums."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, "i8")
-        for batch in bounded(batches, "text"):
-            total += np.bincount(grams(split_words(batch.column("text")))[1], minlength=BUCKETS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
-
+        total = np.zeros((2, BUCKETS), "i8")
+        for batch in bounded(batches, "grams", PACKED_BYTES):
+            bucket, n = unpacked(batch.column("grams"))
+            known = np.repeat(batch.column("known").is_valid().to_numpy(False), n)
+            total += [np.bincount(x, minlength=BUCKETS) for x in (bucket, bucket[known])]
+        used = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (used, *total[:, used])], ["bucket", "n", "n_trusted"]
+        )
+
+    keys = trusted.select("doc_id", F.lit(0).cast("long").alias("spread"), F.lit(True).alias("known"))
     return (
-        docs.select(F.col("text").cast("string"))
-        .mapInArrow(count, "bucket long, n long")
+        pack_grams(docs)
+        .join(keys.hint("merge"), ["doc_id", "spread"], "left")
+        .select("grams", "known")
+        .mapInArrow(count, "bucket long, n long, n_trusted long")
         .groupBy("bucket")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.sum("n_trusted").alias("n_trusted"))
     )
 
 
-def multinomial(docs: DataFrame) -> np.ndarray:
-    """Smoothed bucket probabilities; at most BUCKETS sums come to the driver."""
-    counts = np.ones(BUCKETS)
-    for row in count_grams(docs).collect():
-        counts[row.bucket] += row.n
-    return counts / counts.sum()
+def log_ratio(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
+    """log(trusted / raw) of every bucket, smoothed; at most BUCKETS rows of sums come to the driver."""
+    raw, good = np.ones(BUCKETS), np.ones(BUCKETS)
+    for row in count_grams(docs, trusted).collect():
+        raw[row.bucket] += row.n
+        good[row.bucket] += row.n_trusted
+    return np.log(good / good.sum()) - np.log(raw / raw.sum())
 
 
 def repeated(codes: np.ndarray) -> int:
@@ -132,9 +191,7 @@ def apply_rules(
     """
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     trusted = stored(trusted, "trusted")
-    sample = docs.join(trusted, "doc_id", "left_semi")
-    ratio = np.log(multinomial(sample)) - np.log(multinomial(docs))
-    rows = stored(measure(docs, ratio), "scores")
+    rows = stored(measure(docs, log_ratio(docs, trusted)), "scores")
     ends = rows.join(trusted, "doc_id", "left_semi").agg(
         F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd")
     ).first()

@@ -1,7 +1,9 @@
 """The dealt operators against brute force on small tables with nulls, ties and odd columns."""
 
 import collections
+import contextlib
 import hashlib
+import io
 import re
 import zlib
 
@@ -292,6 +294,61 @@ def test_every_trusted_document_counts(spark):
     assert got.selectExpr("max(abs(score)) AS score", "count(*) AS n").first() == (0.0, 20_400)
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_trusted_documents_are_found_without_moving_texts(spark, docs, threshold, monkeypatch):
+    """Whatever may be broadcast, the sums come from one merge join to which no text is sent."""
+    plans, collect, limit = [], type(docs).collect, "spark.sql.autoBroadcastJoinThreshold"
+
+    def planned(frame):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            frame.explain("formatted")
+        plans.append(out.getvalue())
+        return collect(frame)
+
+    labels = spark.createDataFrame([(5, 1), (6, 1), (7, 0), (None, 1)], "doc_id long, quality int")
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, threshold)
+    try:
+        with monkeypatch.context() as patch:
+            patch.setattr(type(docs), "collect", planned)
+            quality.apply_rules(docs, labels)
+    finally:
+        spark.conf.set(limit, before)
+    sums = [p for p in plans if "bucket#" in p]
+    sent = [x for p in sums for x in re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", p)]
+    assert sent and not any("text#" in x for x in sent)
+    assert sum(p.count(") SortMergeJoin") for p in sums) == 1 and not any("BroadcastHashJoin" in p for p in sums)
+
+
+def test_quality_counts(spark, docs):
+    """Both counts against brute force, with repeated and null doc_id."""
+    frame = docs.union(docs)
+    labels = spark.createDataFrame([(5,), (8,), (9,), (404,)], "doc_id long")
+    want = collections.defaultdict(lambda: [0, 0])
+    for r in rows(frame):
+        hashed = [zlib.crc32(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")]
+        pairs = [((a * 0x9E3779B97F4A7C15 + b) % 2**64 >> 40) for a, b in zip(hashed, hashed[1:])]
+        for x in hashed + pairs:
+            want[x % quality.BUCKETS][0] += 1
+            want[x % quality.BUCKETS][1] += r["doc_id"] in (5, 8, 9)
+    got = {r["bucket"]: [r["n"], r["n_trusted"]] for r in rows(quality.count_grams(frame, labels))}
+    assert got == want
+    unnamed = spark.range(500).coalesce(1).selectExpr("nullif(id, id) AS doc_id", "concat('w', id) AS text")
+    assert quality.pack_grams(unnamed).select("spread").distinct().count() == 500
+
+
+@pytest.mark.parametrize("texts, m", [(0, 0), (1, 0), (1, 1), (2, 1), (5, 3), (50, 4000), (2, 200_000)])
+def test_packed_grams_come_back(texts, m):
+    rng = np.random.default_rng(m)
+    text, bucket = rng.integers(0, max(texts, 1), m), rng.integers(0, quality.BUCKETS, m) ** 2 >> 16
+    held = quality.packed(text, bucket, texts)
+    for skipped in range(min(texts + 1, 3)):
+        got, n = quality.unpacked(held.slice(skipped))
+        want = [np.sort(bucket[text == i]).tolist() for i in range(skipped, texts)]
+        assert got.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
+
+
 def test_language_and_toxicity_on_the_tables(spark, sf, docs, nothing):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     joined = language.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").where("held_out")
