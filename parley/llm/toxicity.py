@@ -22,7 +22,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -52,6 +51,9 @@ PENALTY = 0.3
 LEAST_FEATURE_DOCS = 5
 #: Share of rows above which a feature is too common to be used, unless a word list holds it.
 COMMON = 0.05
+#: Bytes of text hashed at a time: the arrays of its words are several times its size, and a Python worker keeps
+#: for later tasks what memory it once had.
+SLICE_BYTES = 2 << 20
 #: Characters around a word that do not belong to it.
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-+=~_/\\"
 PATTERNS = (
@@ -99,13 +101,11 @@ def term_hashes(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.nd
     """(text, hash), once for each distinct word and stem of a text, or only for known hashes."""
     words = split_words(pc.utf8_lower(texts.fill_null("")))
     bare = pc.utf8_trim(words.distinct, characters=EDGES)
-    forms = [bare.to_pylist()] + [
-        pc.binary_join_element_wise(pc.utf8_slice_codeunits(bare, 0, n), "", f"*{n}").to_pylist()
-        for n in STEMS
-    ]
-    real, owner, keys = np.array([w != "" for w in forms[0]], bool), words.text_of_word, []
-    for form in forms:
-        hashed = np.array([zlib.crc32(w.encode()) for w in form], "i8")
+    real, owner, keys = pc.not_equal(bare, "").to_numpy(False), words.text_of_word, []
+    for n in (None, *STEMS):
+        form = bare if n is None else pc.binary_join_element_wise(pc.utf8_slice_codeunits(bare, 0, n), "", f"*{n}")
+        form = form.dictionary_encode()
+        hashed = np.array([zlib.crc32(w.encode()) for w in form.dictionary.to_pylist()], "i8")[form.indices.to_numpy()]
         used = real if known is None else real & np.isin(hashed, known)
         chosen = used[words.codes]
         keys.append(owner[chosen] << 32 | hashed[words.codes[chosen]])
@@ -207,7 +207,7 @@ def voted(train: DataFrame, lists: dict[str, int]) -> pa.Table:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[int, int] = {zlib.crc32(term.encode()): n for term, n in lists.items()}
         listed = np.array(sorted(numbers), "i8")
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", SLICE_BYTES):
             owner, hashed = term_hashes(batch.column("text"))
             hit = np.isin(hashed, listed)
             lists_of = np.zeros((batch.num_rows, LEXICONS), "i1")
@@ -278,31 +278,43 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return stored(found.groupBy("doc_id").agg(one, F.first("toxic").alias("toxic")), "training")
 
 
+def scores(texts: pa.Array, model: Classifier) -> pa.Array:
+    """Rounded scores of an Arrow batch of texts, hashed in slices."""
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    parts = [model.score(part.column("text")) for part in bounded([batch], "text", SLICE_BYTES)]
+    return pa.array(np.round(np.concatenate([np.zeros(0), *parts]), 6))
+
+
 def probability(text: Column, model: Classifier | None) -> Column:
-    """Score of a text column between 0 and 1."""
+    """Score of a text column between 0 and 1; texts stay in Arrow."""
     if model is None:
         return F.lit(0.0)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-        parts = [
-            model.score(part.column("text"))
-            for part in bounded([batch], "text")
-        ]
-        return pd.Series(np.round(np.concatenate(parts), 6) if parts else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return scores(texts, model)
 
     return score(text)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+    """doc_id, held_out, score and predicted of every document; no texts wait in a queue beside Python."""
     model = fit(training_rows(docs, labels))
-    scored = docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long"),
         F.coalesce(id_remainder(5) == 0, F.lit(False)).alias("held_out"),
-        probability(F.col("text").cast("string"), model).alias("score"),
+        F.col("text").cast("string"),
     )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column("doc_id"), batch.column("held_out"), scores(batch.column("text"), model)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score"])
+
+    if model is None:
+        scored = rows.select("doc_id", "held_out", F.lit(0.0).alias("score"))
+    else:
+        scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

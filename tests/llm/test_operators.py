@@ -449,3 +449,40 @@ def test_training_rows_are_bounded_by_rows(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(1, 4)], "doc_id long, toxic int")
     got = rows(toxicity.training_rows(table, labels))
     assert 1 <= len(got) == len({r["doc_id"] for r in got}) <= 3 and all(r["text"] for r in got)
+
+
+def test_toxicity_hashes_words_and_stems():
+    texts = [None, "", " ... !", "You, you IDIOT!! idiots (idio", "Ça va “ça” 1 12 123 123456"]
+    got = collections.defaultdict(set)
+    for i, h in zip(*(x.tolist() for x in toxicity.term_hashes(pa.array(texts)))):
+        assert h not in got[i]
+        got[i].add(h)
+    for i, text in enumerate(texts):
+        words = {w.strip(toxicity.EDGES) for w in (text or "").lower().split()} - {""}
+        forms = words | {f"{w[:n]}*{n}" for w in words for n in toxicity.STEMS}
+        assert got[i] == {zlib.crc32(x.encode()) for x in forms}
+
+
+def test_toxicity_scores_in_small_slices(monkeypatch):
+    terms = sorted((zlib.crc32(w), x) for w, x in ((b"word1x1", 3.5), (b"wor*3", 1.25)))
+    model = toxicity.Classifier(*(np.array(x) for x in zip(*terms)))
+    texts = pa.array([None, LONG, "", "a word1x1", "some words"] * 60)
+    want = [round(float(model.score(texts.slice(i, 1))[0]), 6) for i in range(len(texts))]
+    sizes, hashed = [], toxicity.term_hashes
+    monkeypatch.setattr(toxicity, "term_hashes", lambda x, known: sizes.append(sum(map(len, x.fill_null("").to_pylist()))) or hashed(x, known))
+    assert toxicity.scores(texts, model).to_pylist() == want
+    assert sum(sizes) == 60 * len(LONG + "a word1x1some words") and max(sizes) <= toxicity.SLICE_BYTES + len(LONG)
+    assert toxicity.scores(texts.slice(0, 0), model).to_pylist() == []
+
+
+def test_no_texts_wait_beside_the_toxicity_scores(spark):
+    texts = [(i, f"you {'idiot' if i % 4 == 0 else 'plain'} of item{i}", i // 2) for i in range(400)]
+    docs = spark.createDataFrame([*texts, (None, None, None)], "doc_id long, text string, extra int")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    scored = toxicity.score_toxicity(docs, labels)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    clean = {r["doc_id"] for r in rows(scored) if not r["predicted"]}
+    kept = rows(toxicity.without_toxic(docs, labels))
+    assert {r["doc_id"] for r in kept} == clean == {None, *range(400)} - {*range(0, 400, 4)}
+    assert all(r["doc_id"] is None or tuple(r.values()) == texts[r["doc_id"]] for r in kept)
